@@ -1,0 +1,105 @@
+"""The driver's queries over this folder's operators, and their SQL where it is quick on whole tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Query = Callable[[SparkSession, str], DataFrame]
+_WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from .boilerplate import repeated_lines
+
+    return repeated_lines(_read(spark, d, "chunks")).select("site", "line")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    from .boilerplate import without_repeated_lines
+
+    dates = _read(spark, d, "files").select(F.col("path").alias("file_path"), F.col("modified_at").alias("published"))
+    return without_repeated_lines(_read(spark, d, "chunks"), dates)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from .splitting import split_oversized
+
+    return split_oversized(_read(spark, d, "chunks")).where("piece_no = 0").select("chunk_id", "cut_kind")
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    from .splitting import split_oversized
+
+    return split_oversized(_read(spark, d, "chunks"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from .term_weights import distinctive_terms
+
+    return distinctive_terms(_read(spark, d, "chunks"))
+
+
+def p6_weights(spark: SparkSession, d: str) -> DataFrame:
+    from .term_weights import term_weights
+
+    w = term_weights(_read(spark, d, "chunks"))
+    return w.select("chunk_id", "term", F.col("tf").cast("long").alias("tf"), "df", F.round("weight", 6).alias("weight"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    from .tokenizing import encode_corpus
+
+    return encode_corpus(_read(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from .repetition import documents_failing
+
+    return documents_failing(_read(spark, d, "documents"), "repeated_runs")
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    from .repetition import repetition_report
+
+    return repetition_report(_read(spark, d, "documents"))
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
+
+
+_TERMS = f"""tok AS (SELECT chunk_id, unnest(list_filter(string_split_regex(lower(norm_text), '{_WS}+'), lambda x: x <> '')) AS term
+  FROM chunks WHERE norm_text IS NOT NULL),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
+dl AS (SELECT chunk_id, sum(tf) AS dl FROM tf GROUP BY ALL),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p2_found": f"""SELECT site, line FROM (
+  SELECT lower(regexp_extract(file_path, '(?:^|[/\\\\])kho[/\\\\]+([^/\\\\]+)', 1)) AS site, file_path,
+    trim(regexp_replace(regexp_replace(lower(unnest(string_split(nfc_normalize(text), chr(10)))), '[0-9]+', '#', 'g'), '{_WS}+', ' ', 'g')) AS line
+  FROM chunks WHERE text IS NOT NULL)
+WHERE line <> '' AND site <> '' GROUP BY ALL HAVING count(DISTINCT file_path) >= 5""".replace("GROUP BY ALL", "GROUP BY site, line"),
+        "p3_found": f"""SELECT chunk_id, CASE WHEN regexp_matches(t, '[\\p{{L}}\\p{{Nd}}]{{513}}') THEN 'forced' ELSE 'natural' END AS cut_kind
+FROM (SELECT chunk_id, regexp_replace(regexp_replace(text, '^{_WS}+', ''), '{_WS}+$', '') AS t FROM chunks) WHERE length(t) > 512""",
+        "p6_found": f"WITH {_TERMS} SELECT chunk_id, term FROM tf JOIN df USING (term), st WHERE df >= 2 AND (1 + ln(tf)) * ln(n / df) >= 1.75 * ln(n)",
+        "p6_weights": f"""WITH {_TERMS} SELECT chunk_id, term, tf, df,
+  round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)), 6) AS weight
+FROM tf JOIN df USING (term) JOIN dl USING (chunk_id), st""",
+        "p10_found": f"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{_WS}+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) > 8),
+k AS (SELECT doc_id, n, i, array_to_string(w[i:i + 7], ' ') AS k FROM g),
+r AS (SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, k ORDER BY i) AS seen FROM k),
+s AS (SELECT doc_id, n, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS c FROM r WHERE seen > 1)
+SELECT doc_id FROM s GROUP BY doc_id HAVING sum(c) / max(n) >= 0.3""",
+    }
