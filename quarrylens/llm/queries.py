@@ -15,6 +15,18 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from .encodings import garbled_records
+
+    return garbled_records(_read(spark, d, "chunks")).select("chunk_id")
+
+
+def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from .encodings import garbled_records
+
+    return garbled_records(_read(spark, d, "chunks"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from .boilerplate import repeated_lines
 
@@ -40,6 +52,24 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(_read(spark, d, "chunks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .lookalikes import look_alike_pairs
+
+    return look_alike_pairs(_read(spark, d, "chunks"))
+
+
+def p4_spelling(spark: SparkSession, d: str) -> DataFrame:
+    from .lookalikes import normalize_spelling
+
+    return normalize_spelling(_read(spark, d, "chunks"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .near_duplicates import near_duplicate_pairs
+
+    return near_duplicate_pairs(_read(spark, d, "chunks")).select("chunk_id_a", "chunk_id_b")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from .term_weights import distinctive_terms
 
@@ -53,12 +83,37 @@ def p6_weights(spark: SparkSession, d: str) -> DataFrame:
     return w.select("chunk_id", "term", F.col("tf").cast("long").alias("tf"), "df", F.round("weight", 6).alias("weight"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from .vector_neighbours import mutual_neighbours
+
+    return mutual_neighbours(_read(spark, d, "chunks"))
+
+
+def p7_knn(spark: SparkSession, d: str) -> DataFrame:
+    from .vector_neighbours import nearest_neighbours
+
+    near = nearest_neighbours(_read(spark, d, "chunks"), queries=F.col("chunk_id") % 50 == 0, visit=600)
+    return near.select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), "similarity", "rank")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from .tokenizing import encode_corpus
 
     return encode_corpus(_read(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[0]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from .repetition import documents_failing
 
@@ -90,7 +145,7 @@ def oracle_sql() -> dict[str, str]:
     trim(regexp_replace(regexp_replace(lower(unnest(string_split(nfc_normalize(text), chr(10)))), '[0-9]+', '#', 'g'), '{_WS}+', ' ', 'g')) AS line
   FROM chunks WHERE text IS NOT NULL)
 WHERE line <> '' AND site <> '' GROUP BY ALL HAVING count(DISTINCT file_path) >= 5""".replace("GROUP BY ALL", "GROUP BY site, line"),
-        "p3_found": f"""SELECT chunk_id, CASE WHEN regexp_matches(t, '[\\p{{L}}\\p{{Nd}}]{{513}}') THEN 'forced' ELSE 'natural' END AS cut_kind
+        "p3_found": f"""SELECT chunk_id, CASE WHEN list_max(list_transform(string_split_regex(t, '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: length(x))) > 512 THEN 'forced' ELSE 'natural' END AS cut_kind
 FROM (SELECT chunk_id, regexp_replace(regexp_replace(text, '^{_WS}+', ''), '{_WS}+$', '') AS t FROM chunks) WHERE length(t) > 512""",
         "p6_found": f"WITH {_TERMS} SELECT chunk_id, term FROM tf JOIN df USING (term), st WHERE df >= 2 AND (1 + ln(tf)) * ln(n / df) >= 1.75 * ln(n)",
         "p6_weights": f"""WITH {_TERMS} SELECT chunk_id, term, tf, df,

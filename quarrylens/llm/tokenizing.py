@@ -242,10 +242,10 @@ def encode_corpus(df: DataFrame, id_col: str, text_col: str, vocabulary: str = D
     return ids.select(F.col("id").alias(id_col), F.col("made").alias("ids"))
 
 
-def count_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """(id_col, n_tokens) of every text; the lists never leave the workers."""
-    kind = df.schema[id_col].dataType.simpleString()
-    ids = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _batches(_load(df, vocabulary), False), f"id {kind}, made bigint"
-    )
-    return ids.select(F.col("id").alias(id_col), F.col("made").alias("n_tokens"))
+def count_tokens(df: DataFrame, id_col: str, text_col: str, vocabulary: str = DEFAULT_VOCABULARY, by: str | None = None) -> DataFrame:
+    """(id_col, [by,] n_tokens) of every text; the lists never leave the workers. by is one more column to keep."""
+    key = F.struct(F.col(id_col).alias("id"), (F.col(by) if by else F.lit(None).cast("string")).alias("by")).alias("id")
+    keyed = df.select(key, F.col(text_col).alias("text"))
+    counts = keyed.mapInArrow(_batches(_load(df, vocabulary), False), f"id {keyed.schema['id'].dataType.simpleString()}, made bigint")
+    kept = [F.col("id.by").alias(by)] if by else []
+    return counts.select(F.col("id.id").alias(id_col), *kept, F.col("made").alias("n_tokens"))
