@@ -11,34 +11,21 @@ Repeated rows change nothing. The cleaned text of a chunk without boilerplate is
 
 from __future__ import annotations
 
-import sys
-import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_class, site_of
+from .common import STABLE, outside, site_of
 
 MIN_FILES = 5
 
 
-def _not_surely_composed() -> str:
-    """Code points that NFC may change: marks that combine, vowels and finals of Hangul, singletons, exclusions."""
-    out = []
-    for cp in range(0x80, sys.maxunicode + 1):
-        c = chr(cp)
-        if not 0xD800 <= cp < 0xE000 and (unicodedata.combining(c) or 0x1161 <= cp <= 0x11FF or unicodedata.category(c) == "Mc" or unicodedata.normalize("NFC", c) != c):
-            out.append(c)
-    return char_class(out)
+_COMPOSABLE = outside(*STABLE)
 
 
-_COMPOSABLE = _not_surely_composed()
-
-
-@F.pandas_udf("string")
-def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import unicodedata as u
 
     for s in parts:
@@ -47,7 +34,7 @@ def _nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def nfc(text: Column) -> Column:
     """Canonical composition; texts that have nothing to compose never leave the JVM."""
-    return F.coalesce(_nfc(F.when(text.rlike(_COMPOSABLE), text)), text)
+    return F.coalesce(F.pandas_udf(_composed, "string")(F.when(text.rlike(_COMPOSABLE), text)), text)
 
 
 def line_form(line: Column) -> Column:

@@ -32,14 +32,26 @@ def worker_state(key: str, make: Callable[[], object]) -> object:
     return home[key]
 
 
-def char_class(chars) -> str:
-    """A Java regex class of the given code points."""
-    cps, parts = sorted(set(map(ord, chars))), []
-    i = 0
-    while i < len(cps):
-        j = i
-        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
-            j += 1
-        parts.append(rf"\x{{{cps[i]:x}}}" + (rf"-\x{{{cps[j]:x}}}" if j > i else ""))
-        i = j + 1
-    return "[" + "".join(parts) + "]"
+def outside(*ranges: tuple[int, int]) -> str:
+    """A Java regex class of all code points but these ranges; short, as Java tries range after range."""
+    return "[^" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+#: Blocks that are the same in NFC and in which nothing combines, but for what a user of them leaves out.
+STABLE = (
+    (0x00, 0x2FF), (0x1E00, 0x1EFF), (0x2002, 0x2069), (0x20A0, 0x20BF), (0x2100, 0x2125), (0x2500, 0x27BF),
+    (0x3000, 0x3029), (0x4E00, 0x9FFF), (0x400, 0x481), (0xFF01, 0xFF9D), (0x1F000, 0x1FAFF),
+)
+
+
+def without(ranges, cut) -> list[tuple[int, int]]:
+    """The ranges without the code points of cut."""
+    out = []
+    for a, b in ranges:
+        for c in sorted(x for x in cut if a <= x <= b):
+            if a < c:
+                out.append((a, c - 1))
+            a = c + 1
+        if a <= b:
+            out.append((a, b))
+    return out

@@ -13,7 +13,6 @@ breaks and never pair; any length is processed whole; repeated rows give the sam
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_class
+from .common import STABLE, outside, without
 
 #: Latin letter and its twins, by script (fixed values).
 TWINS = {
@@ -89,27 +88,17 @@ def consistent(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-def _suspicious() -> str:
-    out = [chr(cp) for cp in _FORMS if cp != 0x20] + list(_TO_LATIN) + ["\r"]
-    for cp in range(0x80, sys.maxunicode + 1):
-        c = chr(cp)
-        if not 0xD800 <= cp < 0xE000 and (unicodedata.combining(c) or unicodedata.category(c) == "Mc" or 0x1161 <= cp <= 0x11FF or unicodedata.normalize("NFC", c) != c):
-            out.append(c)
-    return char_class(out)
+_SUSPICIOUS = outside(*without(STABLE, {0x0D, *_FORMS, *map(ord, _TO_LATIN)}))
 
 
-_SUSPICIOUS = _suspicious()
-
-
-@F.pandas_udf("string")
-def _consistent(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _respelled(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in parts:
         yield s.map(lambda x: None if x is None else consistent(x))
 
 
 def canonical(text: Column) -> Column:
     """The consistent spelling of a text column."""
-    return F.coalesce(_consistent(F.when(text.rlike(_SUSPICIOUS), text)), text)
+    return F.coalesce(F.pandas_udf(_respelled, "string")(F.when(text.rlike(_SUSPICIOUS), text)), text)
 
 
 def normalize_spelling(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
