@@ -103,15 +103,17 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The combined documents, with how often each appears."""
     from .mixing import mix_sources
 
-    return mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
+    return mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[0]
 
 
-def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
     from .mixing import mix_sources
 
-    return mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[0]
+    return mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
