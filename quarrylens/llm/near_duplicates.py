@@ -15,6 +15,7 @@ fewer words than a shingle never pair; repeated rows are rows of their own; an e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEGMENTS, WIDTH = 18, 5
+#: Bits of the sketch that candidates are compared by first.
+SKETCH = 128
 _WS = r"(?U)\s+"
 
 
@@ -35,39 +38,55 @@ def shingles(text: Column, size: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= size, F.array_distinct(grams(w))))
 
 
-def _sketcher(segments: int, width: int):
-    seeds = np.random.RandomState(20).randint(1, 2**62, size=(2, segments * width)).astype(np.uint64)
-    odd, add = seeds[0] * np.uint64(2) + np.uint64(1), seeds[1]
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
-    def mix(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
+
+def _minima(lists: pa.Array, count: int, seed: int) -> np.ndarray:
+    """(count, rows) minimum hashes of each row's shingles, by count functions."""
+    odd = np.random.RandomState(seed).randint(1, 2**62, size=(2, count)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    offsets = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+    starts = (offsets[:-1] - offsets[0]).astype(np.int64)
+    low = (_mix(flat) >> np.uint64(32)).astype(np.uint32)
+    least = np.empty((count, len(starts)), dtype=np.uint64)
+    for k in range(count):  # multiply-shift in 32 bits is enough to order the few shingles of one text
+        h = low * np.uint32(odd[0, k] & np.uint64(0xFFFFFFFF))
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(odd[1, k] & np.uint64(0xFFFFFFFF))
+        least[k] = np.minimum.reduceat(h, starts)
+    return least
+
+
+def _signer(segments: int, width: int):
+    """(id, sig): the deletion variants of every segment of every row's vector."""
+    salt = np.random.RandomState(21).randint(1, 2**62, size=(segments, width, 1)).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 2000):
                 part = batch.slice(s, 2000)
-                lists = part.column(1)
-                offsets = lists.offsets.to_numpy()
-                flat = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
-                starts, n = (offsets[:-1] - offsets[0]).astype(np.int64), part.num_rows
-                low = (mix(flat) >> np.uint64(32)).astype(np.uint32)
-                least = np.empty((segments * width, n), dtype=np.uint64)
-                for k in range(segments * width):
-                    # multiply-shift in 32 bits is enough to order the few shingles of one text
-                    h = low * np.uint32(odd[k] & np.uint64(0xFFFFFFFF)) + np.uint32(add[k] & np.uint64(0xFFFFFFFF))
-                    h ^= h >> np.uint32(15)
-                    h *= np.uint32(odd[k] >> np.uint64(32) | np.uint64(1))
-                    least[k] = np.minimum.reduceat(h, starts)
-                spread = mix(least * odd[:, None] + add[:, None]).reshape(segments, width, n)
+                spread = _mix((_minima(part.column(1), segments * width, 20).reshape(segments, width, -1) + salt) * np.uint64(0x9E3779B97F4A7C15))
                 # a variant is the sum over the segment without the wildcard's position, told apart by segment and wildcard
-                variants = mix(spread.sum(axis=1, keepdims=True, dtype=np.uint64) - spread + add.reshape(segments, width, 1))
+                variants = _mix(spread.sum(axis=1, keepdims=True, dtype=np.uint64) - spread + salt)
                 ids = np.tile(part.column(0).to_numpy(zero_copy_only=False), segments * width)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(variants.reshape(-1).view(np.int64))], names=["id", "sig"])
 
     return run
 
 
+def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, sh) with 128 one-bit minimum hashes as two numbers."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, 2000):
+            part = batch.slice(s, 2000)
+            bits = (_minima(part.column(1), SKETCH, 22) >> np.uint64(7)) & np.uint64(1)
+            place = np.uint64(1) << np.arange(64, dtype=np.uint64)[:, None]
+            k1, k2 = ((bits[x : x + 64] * place).sum(axis=0, dtype=np.uint64).view(np.int64) for x in (0, 64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(k1), pa.array(k2)], names=["rep", "sh", "k1", "k2"])
+
+
 def _distinct_texts(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
     """(id, rep) of all rows with a text, and (rep, sh): the shingle sets of one row for each distinct text."""
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
@@ -81,11 +100,20 @@ def _distinct_texts(df: DataFrame, id_col: str, text_col: str, size: int) -> tup
 
 
 def similar_texts(sets: DataFrame, threshold: float, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
-    """(a, b, similarity) with a < b of the shingle sets (rep, sh) whose similarity reaches the threshold."""
-    sigs = sets.mapInArrow(_sketcher(segments, width), "id bigint, sig bigint")
+    """(a, b, similarity) with a < b of the texts (rep, sh, k1, k2) whose similarity reaches the threshold.
+
+    Candidates are compared by sketches before the shingle sets travel: at the threshold a bit differs with probability
+    (1 - threshold) / 2, and only pairs that differ in five deviations more (1 in 3 million of those at it) are left out.
+    """
+    sigs = sets.select("rep", "sh").mapInArrow(_signer(segments, width), "id bigint, sig bigint")
     left, right = sigs.select("sig", F.col("id").alias("a")), sigs.select("sig", F.col("id").alias("b"))
-    candidates = left.join(right, "sig").where("a < b").select("a", "b").distinct()
-    with_a = candidates.join(sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a")
+    candidates = left.join(right, "sig").where("a < b").select("a", "b").repartition("a").distinct()
+    p = (1 - threshold) / 2
+    most = math.floor(SKETCH * p + 5 * math.sqrt(SKETCH * p * (1 - p)))
+    small = lambda x: sets.select(F.col("rep").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"))
+    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    near = candidates.join(small("a"), "a").join(small("b"), "b").where(differ <= most).select("a", "b")
+    with_a = near.join(sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a")
     with_b = with_a.join(sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     return with_b.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
@@ -108,8 +136,8 @@ def near_duplicate_pairs(
     from ..session import materialize
 
     copies, sets = _distinct_texts(df, id_col, text_col, size)
-    sets = materialize(sets, "shingles")  # read three times: once for signatures, twice to verify
-    texts = similar_texts(sets, threshold, segments, width).select("a", "b", "similarity")
+    sets = materialize(sets.mapInArrow(_sketcher, "rep bigint, sh array<bigint>, k1 bigint, k2 bigint"), "shingles")
+    texts = materialize(similar_texts(sets, threshold, segments, width).select("a", "b", "similarity"), "similar")
     held = copies.join(sets.select("rep"), "rep", "left_semi")  # only texts long enough
     same = held.select("rep").distinct().select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
     linked = texts.unionByName(same)
