@@ -3,14 +3,19 @@
 Each distinct text becomes a vector of minimum hashes over its word shingles; two texts of similarity s differ in each
 position with probability 1 - s. The vector is cut into segments, so few that similar vectors have one that differs in at
 most one position: with m segments that is certain for fewer than 2m differing positions. Of every segment the variants
-with one position replaced by a wildcard are indexed, equal variants are joined, and each candidate pair is verified by the
-exact similarity of the two shingle sets. Nothing else is compared, and no bucket or partner is capped.
+with one position replaced by a wildcard are indexed and equal variants are joined. A variant carries a sketch of its text, 64
+one-bit minimum hashes, which the join compares; what passes is verified by the similarity of the two shingle sets. Nothing
+else is compared, and no bucket or partner is capped.
 
 With segments of five positions a pair of similarity s is missed with probability (1 - 5 s^4 (1 - s) - s^5)^m: for m = 18,
-0.0006 at s = 0.6, 0.00006 at 0.65 and 1e-9 at 0.8.
+0.0006 at s = 0.6, 0.00006 at 0.65 and 1e-9 at 0.8. A sketch bit differs with probability (1 - s) / 2; pairs at the
+threshold that differ in 3.5 deviations more are left out, 0.0003 of them, and fewer above it.
 
-Exact copies are collapsed to their smallest id first and joined back at the end. Defined results: null texts and texts of
-fewer words than a shingle never pair; repeated rows are rows of their own; an empty table gives no pairs.
+A text is known by its 64-bit hash, so exact copies are one text; workers drop copies before anything is shuffled, and
+rows are joined back at the end. Texts travel once, for verification, without their copies.
+
+Defined results: null texts and texts of fewer words than a shingle never pair, nor do rows without a file; repeated rows
+are rows of their own; an empty table gives no pairs.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 SEGMENTS, WIDTH = 18, 5
 #: Bits of the sketch that candidates are compared by first.
-SKETCH = 128
+SKETCH, SLACK = 64, 3.5
 _WS = r"(?U)\s+"
 
 
@@ -60,63 +65,49 @@ def _minima(lists: pa.Array, count: int, seed: int) -> np.ndarray:
 
 
 def _signer(segments: int, width: int):
-    """(id, sig): the deletion variants of every segment of every row's vector."""
+    """(text, sketch, sig): the deletion variants of every segment of every text's vector, each text once a task."""
     salt = np.random.RandomState(21).randint(1, 2**62, size=(segments, width, 1)).astype(np.uint64)
+    place = np.uint64(1) << np.arange(SKETCH, dtype=np.uint64)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for s in range(0, batch.num_rows, 2000):
                 part = batch.slice(s, 2000)
-                spread = _mix((_minima(part.column(1), segments * width, 20).reshape(segments, width, -1) + salt) * np.uint64(0x9E3779B97F4A7C15))
+                new = []
+                for i, t in enumerate(part.column(0).to_pylist()):
+                    if t not in seen:
+                        seen.add(t)
+                        new.append(i)
+                if len(seen) > 1_000_000:  # memory is bounded; a copy that comes later is only signed again
+                    seen.clear()
+                if not new:
+                    continue
+                part = part.take(pa.array(new))
+                minima = _minima(part.column(1), segments * width + SKETCH, 20)
+                bits = (minima[segments * width :] >> np.uint64(7)) & np.uint64(1)
+                sketch = (bits * place).sum(axis=0, dtype=np.uint64)
+                spread = _mix((minima[: segments * width].reshape(segments, width, -1) + salt) * np.uint64(0x9E3779B97F4A7C15))
                 # a variant is the sum over the segment without the wildcard's position, told apart by segment and wildcard
                 variants = _mix(spread.sum(axis=1, keepdims=True, dtype=np.uint64) - spread + salt)
-                ids = np.tile(part.column(0).to_numpy(zero_copy_only=False), segments * width)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(variants.reshape(-1).view(np.int64))], names=["id", "sig"])
+                text = np.tile(part.column(0).to_numpy(), segments * width)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(text), pa.array(np.tile(sketch, segments * width).view(np.int64)), pa.array(variants.reshape(-1).view(np.int64))],
+                    names=["text", "sketch", "sig"],
+                )
 
     return run
 
 
-def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rep, sh) with 128 one-bit minimum hashes as two numbers."""
-    for batch in batches:
-        for s in range(0, batch.num_rows, 2000):
-            part = batch.slice(s, 2000)
-            bits = (_minima(part.column(1), SKETCH, 22) >> np.uint64(7)) & np.uint64(1)
-            place = np.uint64(1) << np.arange(64, dtype=np.uint64)[:, None]
-            k1, k2 = ((bits[x : x + 64] * place).sum(axis=0, dtype=np.uint64).view(np.int64) for x in (0, 64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(k1), pa.array(k2)], names=["rep", "sh", "k1", "k2"])
-
-
-def _distinct_texts(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of all rows with a text, and (rep, sh): the shingle sets of one row for each distinct text."""
-    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-    keyed = rows.select("id", F.unhex(F.md5("_text")).alias("t"))
-    reps = keyed.groupBy("t").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("m"))
-    copies = keyed.join(reps.where("m > 1").select("t", "rep"), "t").select("id", "rep")
-    # (id of a row that is not its text's representative) is all that has to be left out
-    others = copies.where("id <> rep").select("id")
-    sets = rows.join(others, "id", "left_anti").select(F.col("id").alias("rep"), shingles(F.col("_text"), size).alias("sh"))
-    return copies, sets.where("sh IS NOT NULL")
-
-
-def similar_texts(sets: DataFrame, threshold: float, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
-    """(a, b, similarity) with a < b of the texts (rep, sh, k1, k2) whose similarity reaches the threshold.
-
-    Candidates are compared by sketches before the shingle sets travel: at the threshold a bit differs with probability
-    (1 - threshold) / 2, and only pairs that differ in five deviations more (1 in 3 million of those at it) are left out.
-    """
-    sigs = sets.select("rep", "sh").mapInArrow(_signer(segments, width), "id bigint, sig bigint")
-    left, right = sigs.select("sig", F.col("id").alias("a")), sigs.select("sig", F.col("id").alias("b"))
-    candidates = left.join(right, "sig").where("a < b").select("a", "b").repartition("a").distinct()
+def candidate_pairs(texts: DataFrame, threshold: float, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
+    """(a, b) with a < b of the texts (t, sh) that share a variant and whose sketches are near enough."""
     p = (1 - threshold) / 2
-    most = math.floor(SKETCH * p + 5 * math.sqrt(SKETCH * p * (1 - p)))
-    small = lambda x: sets.select(F.col("rep").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2"))
-    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    near = candidates.join(small("a"), "a").join(small("b"), "b").where(differ <= most).select("a", "b")
-    with_a = near.join(sets.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), "a")
-    with_b = with_a.join(sets.select(F.col("rep").alias("b"), F.col("sh").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return with_b.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
+    most = math.floor(SKETCH * p + SLACK * math.sqrt(SKETCH * p * (1 - p)))
+    sigs = texts.mapInArrow(_signer(segments, width), "text bigint, sketch bigint, sig bigint")
+    left = sigs.select("sig", F.col("text").alias("a"), F.col("sketch").alias("ka"))
+    right = sigs.select("sig", F.col("text").alias("b"), F.col("sketch").alias("kb"))
+    near = F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= most
+    return left.join(right, "sig").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def near_duplicate_pairs(
@@ -135,18 +126,24 @@ def near_duplicate_pairs(
     """
     from ..session import materialize
 
-    copies, sets = _distinct_texts(df, id_col, text_col, size)
-    sets = materialize(sets.mapInArrow(_sketcher, "rep bigint, sh array<bigint>, k1 bigint, k2 bigint"), "shingles")
-    texts = materialize(similar_texts(sets, threshold, segments, width).select("a", "b", "similarity"), "similar")
-    held = copies.join(sets.select("rep"), "rep", "left_semi")  # only texts long enough
-    same = held.select("rep").distinct().select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
-    linked = texts.unionByName(same)
-    ends = linked.select(F.col("a").alias("rep")).union(linked.select(F.col("b").alias("rep"))).distinct()
-    alone = ends.select(F.col("rep").alias("id"), "rep")
-    holders = alone.union(held.where("id <> rep").select("id", "rep"))
-    files = df.select(F.col(id_col).cast("long").alias("id"), F.col(file_col).alias("f"))
-    members = files.join(holders, "id")
-    x = members.select(F.col("rep").alias("a"), F.col("id").alias("i"), F.col("f").alias("fi"))
-    y = members.select(F.col("rep").alias("b"), F.col("id").alias("j"), F.col("f").alias("fj"))
-    pairs = linked.join(x, "a").join(y, "b").where((F.col("fi") != F.col("fj")) & ((F.col("a") != F.col("b")) | (F.col("i") < F.col("j"))))
-    return pairs.select(F.least("i", "j").alias(f"{id_col}_a"), F.greatest("i", "j").alias(f"{id_col}_b"), "similarity")
+    rows = df.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(file_col).alias("file"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")
+    )
+    rows = rows.where(F.col("text").rlike(r"(?U)\S" + r"\s+\S+" * (size - 2) + r"\s+\S" if size > 1 else r"(?U)\S"))
+    sets = rows.select("t", shingles(F.col("text"), size).alias("sh")).where("sh IS NOT NULL")
+    pairs = materialize(candidate_pairs(sets, threshold, segments, width), "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    once = rows.groupBy("t").agg(F.first("text").alias("text")).join(needed, "t", "left_semi")
+    held = materialize(once.select("t", shingles(F.col("text"), size).alias("sh")), "shingles")
+    both = F.size(F.array_intersect("sa", "sb"))
+    compared = pairs.join(held.select(F.col("t").alias("a"), F.col("sh").alias("sa")), "a").join(held.select(F.col("t").alias("b"), F.col("sh").alias("sb")), "b")
+    similar = compared.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
+    copies = rows.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    same = copies.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("similarity"))
+    linked = materialize(similar.where(F.col("similarity") >= threshold).unionByName(same), "linked")
+    ends = linked.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    members = materialize(rows.select("id", "file", "t").join(ends, "t", "left_semi"), "members")
+    x = members.select(F.col("t").alias("a"), F.col("id").alias("i"), F.col("file").alias("fi"))
+    y = members.select(F.col("t").alias("b"), F.col("id").alias("j"), F.col("file").alias("fj"))
+    found = linked.join(x, "a").join(y, "b").where((F.col("fi") != F.col("fj")) & ((F.col("a") != F.col("b")) | (F.col("i") < F.col("j"))))
+    return found.select(F.least("i", "j").alias(f"{id_col}_a"), F.greatest("i", "j").alias(f"{id_col}_b"), "similarity")
