@@ -4,8 +4,8 @@ Each distinct text becomes a vector of minimum hashes over its word shingles; tw
 position with probability 1 - s. The vector is cut into segments, so few that similar vectors have one that differs in at
 most one position: with m segments that is certain for fewer than 2m differing positions. Of every segment the variants
 with one position replaced by a wildcard are indexed and equal variants are joined. A variant carries a sketch of its text, 64
-one-bit minimum hashes, which the join compares; what passes is verified by the similarity of the two shingle sets. Nothing
-else is compared, and no bucket or partner is capped.
+one-bit minimum hashes, which the join compares; what passes is compared by 128 more and verified by the similarity of the
+two shingle sets. Nothing else is compared, and no bucket or partner is capped.
 
 With segments of five positions a pair of similarity s is missed with probability (1 - 5 s^4 (1 - s) - s^5)^m: for m = 18,
 0.0006 at s = 0.6, 0.00006 at 0.65 and 1e-9 at 0.8. A sketch bit differs with probability (1 - s) / 2; pairs at the
@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEGMENTS, WIDTH = 18, 5
-#: Bits of the sketch that candidates are compared by first.
-SKETCH, SLACK = 64, 3.5
+#: Bits of the sketches that candidates are compared by, in the join and after it, and the deviations allowed.
+SKETCH, LONGER, SLACK = 64, 128, 3.5
 _WS = r"(?U)\s+"
 
 
@@ -99,15 +99,34 @@ def _signer(segments: int, width: int):
     return run
 
 
-def candidate_pairs(texts: DataFrame, threshold: float, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
-    """(a, b) with a < b of the texts (t, sh) that share a variant and whose sketches are near enough."""
+def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, k1, k2): LONGER one-bit minimum hashes of every text, as two numbers."""
+    place = np.uint64(1) << np.arange(64, dtype=np.uint64)[:, None]
+    for batch in batches:
+        for s in range(0, batch.num_rows, 2000):
+            part = batch.slice(s, 2000)
+            bits = (_minima(part.column(1), LONGER, 22) >> np.uint64(7)) & np.uint64(1)
+            k1, k2 = ((bits[x : x + 64] * place).sum(axis=0, dtype=np.uint64).view(np.int64) for x in (0, 64))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1), pa.array(k2)], names=["t", "k1", "k2"])
+
+
+def _most(bits: int, threshold: float, slack: float) -> int:
+    """Bits in which two sketches may differ: what is expected at the threshold and so many deviations more."""
     p = (1 - threshold) / 2
-    most = math.floor(SKETCH * p + SLACK * math.sqrt(SKETCH * p * (1 - p)))
+    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def candidate_pairs(texts: DataFrame, threshold: float, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
+    """(a, b) with a < b of the texts (t, sh) that share a variant and whose sketches, short and long, are near enough."""
     sigs = texts.mapInArrow(_signer(segments, width), "text bigint, sketch bigint, sig bigint")
     left = sigs.select("sig", F.col("text").alias("a"), F.col("sketch").alias("ka"))
     right = sigs.select("sig", F.col("text").alias("b"), F.col("sketch").alias("kb"))
-    near = F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= most
-    return left.join(right, "sig").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    near = F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= _most(SKETCH, threshold, SLACK)
+    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    longer = texts.mapInArrow(_sketcher, "t bigint, k1 bigint, k2 bigint").dropDuplicates(["t"])
+    a, b = (longer.select(F.col("t").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2")) for x in "ab")
+    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
+    return pairs.join(a, "a").join(b, "b").where(differ <= _most(LONGER, threshold, SLACK + 1)).select("a", "b")
 
 
 def near_duplicate_pairs(
