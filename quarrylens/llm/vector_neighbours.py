@@ -2,7 +2,7 @@
 
 Both halves of a unit vector are quantised separately, so a cell is a pair of centroids. A query walks the pairs in order of
 their summed distance with a heap and visits the nearest `visit` cells; the entries of those cells are ranked by exact
-cosine similarity. The codebooks are fitted on a bounded sample (SAMPLE vectors, those of smallest hash); every vector is
+cosine similarity. The codebooks are fitted on a bounded sample (about SAMPLE vectors, chosen by hash); every vector is
 indexed. Queries meet cells by an equality join on the first centroid and a block of second centroids: a vector is sent
 once as an entry and once for each block its query visits, and blocks that hold more entries than BLOCK are salted.
 
@@ -16,6 +16,7 @@ part in nothing. Repeated rows are neighbours of similarity 1. An empty table gi
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,7 +226,11 @@ def nearest_neighbours(
         late = ranked.where(F.col("r") > k + 1).select("h", "h2", F.col("id").alias("a"))
         late = late.select("h", "h2", F.col("a").alias(id_col)).where(asks).withColumnRenamed(id_col, "a")
         extra = late.join(heads, ["h", "h2"]).select("a", "b", F.lit(1.0).alias("similarity"), F.col("rank").cast("int").alias("rank"))
-    sample = np.array([r["v"] for r in entries.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()], dtype=np.float32)
+    # about SAMPLE vectors by hash, at most twice as many; each task sends its own part only
+    share = entries if n <= SAMPLE else entries.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(SAMPLE / n * 1_000_000))
+    sample = np.array([r["v"] for r in share.select("v").limit(2 * SAMPLE).collect()], dtype=np.float32)
+    if not len(sample):
+        sample = np.array([r["v"] for r in entries.select("v").limit(1).collect()], dtype=np.float32)
     unit, dim = _unit(sample), sample.shape[1]
     half = max(1, dim // 2)
     cells = int(min(max(round((n / PER_CELL) ** 0.5), 2), MOST_CENTROIDS, max(2, len(unit) // 8)))
