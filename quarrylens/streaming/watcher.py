@@ -1,36 +1,81 @@
-"""Folder watching as Structured Streaming: new files become chunks in the store."""
+"""Folder watching as Structured Streaming: new and changed files become chunks in the store."""
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.engine import Engine, IndexOptions
-from ..session import shared_dir
-from ..sources.listing import normal_extension, visible
-from ..sources.readers import read_binary
+from ..sources.listing import LISTING, walk
+from ..sources.readers import read_files
+
+
+class FolderReader(SimpleDataSourceStreamReader):
+    """Files below a folder by the time of their last change, in nanoseconds, which is the stream's offset.
+
+    Unlike Spark's file stream it sees files that are changed in place, empty files and names with an underscore.
+    """
+
+    def __init__(self, folder: str, extensions: list[str]):
+        self.folder, self.extensions = folder, extensions
+
+    def initialOffset(self) -> dict:
+        return {"changed": 0}
+
+    def _since(self, low: int, high: int | None = None) -> tuple[list[tuple], int]:
+        rows, last = [], low
+        for row in walk(self.folder, self.extensions):
+            stat = os.stat(row[0])
+            changed = max(stat.st_mtime_ns, stat.st_ctime_ns)
+            if changed > low and (high is None or changed <= high):
+                rows.append(row)
+                last = max(last, changed)
+        return rows, last
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        rows, last = self._since(start["changed"])
+        return iter(rows), {"changed": last}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter(self._since(start["changed"], end["changed"])[0])
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class FolderSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "quarrylens_folder"
+
+    def schema(self) -> str:
+        return LISTING
 
-_BINARY = "path string, modificationTime timestamp, length long, content binary"
+    def simpleStreamReader(self, schema) -> FolderReader:
+        return FolderReader(self.options["path"], self.options["extensions"].split(","))
 
 
-def watch_folder(engine: Engine, folder: str, options: IndexOptions | None = None, available_now: bool = True, every: str = "5 seconds") -> StreamingQuery:
-    """Index files of folder as they arrive; each micro-batch replaces its files' chunks, so a repeated batch is harmless.
+def watch_folder(engine: Engine, folder: str, options: IndexOptions | None = None, every: str = "5 seconds") -> StreamingQuery:
+    """Index files of folder as they come or change; a batch replaces its files' chunks, so a repeated batch is harmless.
 
-    Spark's file stream sees new files; a file that was changed in place is picked up by Engine.refresh.
+    The query runs until it is stopped; processAllAvailable() waits for what is there. Files that are removed keep their
+    chunks.
     """
     spark = engine.spark
-    options = options or IndexOptions()
-    files = spark.readStream.format("binaryFile").schema(_BINARY).option("recursiveFileLookup", True)
-    files = files.option("maxFilesPerTrigger", options.batch_size * options.workers).load(folder)
-    wanted = files.where(visible(F.regexp_replace("path", "^file:/+", "/")))
-    wanted = wanted.where(normal_extension(F.regexp_extract("path", r"(\.[^./\\]+)$", 1)).isin(list(options.extensions())))
+    spark.dataSource.register(FolderSource)
+    wanted = (options or IndexOptions()).extensions()
+    files = spark.readStream.format("quarrylens_folder").option("extensions", ",".join(wanted)).load(folder)
 
     def index(batch: DataFrame, _: int) -> None:
-        engine.index_texts(read_binary(batch.select("path", "content")), replace=True)
+        engine.index_texts(read_files(batch.select("path")), replace=True, options=options)
 
-    sink = wanted.writeStream.foreachBatch(index).option("checkpointLocation", f"{engine.store.path}/watch")
-    return (sink.trigger(availableNow=True) if available_now else sink.trigger(processingTime=every)).start()
+    sink = files.writeStream.foreachBatch(index).option("checkpointLocation", f"{engine.store.path}/watch")
+    return sink.trigger(processingTime=every).start()
 
 
 def latest_visit_stream(spark: SparkSession, visits_path: str, schema, out: str, late: str = "30 days") -> DataFrame:
