@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products over the common length of both arrays, in double precision."""
@@ -32,8 +34,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; vectors of norm 1e-12 or less stay as they are."""
-    n = norm(v)
-    return F.when(n > 1e-12, F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(v)
+    return let(norm(v), lambda n: F.when(n > 1e-12, F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(v))
 
 
 def quantize_int8(v: Column) -> Column:
@@ -42,10 +43,13 @@ def quantize_int8(v: Column) -> Column:
     A zero vector gives zeros and scale 0, an empty one an empty array and scale 0, null gives null.
     """
     top = F.coalesce(F.array_max(F.transform(v, lambda x: F.abs(x))), F.lit(0.0).cast("float"))
-    scale = (top / F.lit(127.0).cast("float")).cast("float")
-    step = lambda x: F.round((x / scale).cast("float").cast("double"))
-    q = F.transform(v, lambda x: F.when(scale == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-127.0), F.least(F.lit(127.0), step(x)))).cast("tinyint"))
-    return F.when(v.isNotNull(), F.struct(q.alias("qvec"), scale.alias("scale")))
+
+    def quantized(scale: Column) -> Column:
+        step = lambda x: F.round((x / scale).cast("float").cast("double"))
+        whole = lambda x: F.when(scale == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-127.0), F.least(F.lit(127.0), step(x))))
+        return F.struct(F.transform(v, lambda x: whole(x).cast("tinyint")).alias("qvec"), scale.alias("scale"))
+
+    return F.when(v.isNotNull(), let((top / F.lit(127.0).cast("float")).cast("float"), quantized))
 
 
 def dequantize_int8(qvec: Column, scale: Column) -> Column:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import let, select_once
 from ..functions.text import normalize, tokens
 
 K1, B = 1.5, 0.75
@@ -27,9 +28,9 @@ def term_counts(words: Column) -> Column:
                 F.get(w, at).alias("term"), (F.coalesce(F.get(s, i + 1), F.size(w)) - at).alias("tf"), F.size(w).alias("dl")
             ),
         )
-        return F.when(F.size(w) > 0, F.get(F.transform(F.array(starts), entry), F.lit(0)))
+        return F.when(F.size(w) > 0, let(starts, entry))
 
-    return F.get(F.transform(F.array(F.sort_array(words)), runs), F.lit(0))
+    return let(F.sort_array(words), runs)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -98,18 +99,21 @@ def bm25_scores(df: DataFrame, query: str, id_col: str = "chunk_id", text_col: s
     row = spark.range(1).select(tokens(normalize(F.lit(query))).alias("w")).first()
     asked = row["w"] or []
     terms = list(dict.fromkeys(asked))
-    words = tokens(F.col(text_col))
-    base = df.select(F.col(id_col), *(keep or []), words.alias("_w"))
+    keep = list(keep or [])
     if not terms:
-        return base.where(F.lit(False)).select(id_col, *(keep or []), F.lit(0.0).alias("score"))
-    tf = [F.size("_w") - F.size(F.array_remove("_w", t)) for t in terms]
-    counted = base.where(F.size("_w") > 0).select(id_col, *(keep or []), F.size("_w").alias("_dl"), *(c.alias(f"_tf{i}") for i, c in enumerate(tf)))
+        return df.where(F.lit(False)).select(id_col, *keep, F.lit(0.0).alias("score"))
+
+    def counts(w: Column) -> Column:
+        tf = [(F.size(w) - F.size(F.array_remove(w, t))).alias(f"_tf{i}") for i, t in enumerate(terms)]
+        return F.struct(F.size(w).alias("_dl"), *tf)
+
+    counted = select_once(df, [id_col, *keep], let(tokens(F.col(text_col)), counts)).where("_dl > 0")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     if not stats["n"]:
-        return counted.select(id_col, *(keep or []), F.lit(0.0).alias("score"))
+        return counted.select(id_col, *keep, F.lit(0.0).alias("score"))
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         one = term_score(idf(F.lit(stats["n"]), F.lit(stats[f"df{i}"])), F.col(f"_tf{i}"), F.col("_dl"), F.lit(stats["avgdl"]))
         score = score + F.lit(float(asked.count(t))) * one.cast("float").cast("double")
     any_hit = F.greatest(*(F.col(f"_tf{i}") for i in range(len(terms))), F.lit(0)) > 0
-    return counted.where(any_hit).select(id_col, *(keep or []), score.alias("score"))
+    return counted.where(any_hit).select(id_col, *keep, score.alias("score"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from ..functions.text import LETTER_OR_DIGIT as LD
 
 SIZE = 512
@@ -38,9 +39,9 @@ def chunks_of(text: Column, size: int = SIZE) -> Column:
 
             return F.filter(F.transform(segs, piece), lambda c: c["text"] != "")
 
-        return F.get(F.transform(F.array(starts), one), F.lit(0))
+        return let(starts, one)
 
-    return F.get(F.transform(F.array(segments), placed), F.lit(0))
+    return let(segments, placed)
 
 
 def chunk_documents(df: DataFrame, id_col: str, text_col: str = "text", size: int = SIZE) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import select_once
 from ..functions.vector import dot, int8_dot, literal, quantize_int8
 
 
@@ -17,21 +18,22 @@ def vector_topk(df: DataFrame, query, k: int, id_col: str = "chunk_id", vec_col:
     query is a list of numbers. The products run over the common length. k <= 0 gives no rows; null and empty vectors
     take no part.
     """
-    scored = df.where(F.size(vec_col) > 0).select(id_col, *(keep or []), dot(F.col(vec_col), literal(query)).alias("score"))
+    scored = select_once(df.where(F.size(vec_col) > 0), [id_col, *(keep or [])], F.struct(dot(F.col(vec_col), literal(query)).alias("score")))
     return scored.where(F.col("score").isNotNull()).orderBy(F.desc("score"), id_col).limit(max(k, 0))
 
 
 def quantized(df: DataFrame, id_col: str = "chunk_id", vec_col: str = "vector", keep: list[str] | None = None) -> DataFrame:
     """(id_col, *keep, qvec, scale): the int8 index."""
-    q = df.where(F.size(vec_col) > 0).select(id_col, *(keep or []), quantize_int8(F.col(vec_col)).alias("_q"))
-    return q.select(id_col, *(keep or []), "_q.qvec", "_q.scale")
+    return select_once(df.where(F.size(vec_col) > 0), [id_col, *(keep or [])], quantize_int8(F.col(vec_col)))
 
 
 def int8_topk(index: DataFrame, query, k: int, id_col: str = "chunk_id") -> DataFrame:
-    """(id_col, score): top k over an int8 index; the query is quantised the same way."""
-    q = quantize_int8(literal(query))
-    score = int8_dot(F.col("qvec"), q["qvec"], F.col("scale"), q["scale"])
-    return index.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(max(k, 0))
+    """(id_col, score): top k over an int8 index; the query is quantised the same way, once."""
+    q = index.sparkSession.range(1).select(F.inline(F.array(quantize_int8(literal(query))))).first()
+    codes = F.array(*(F.lit(x).cast("tinyint") for x in q["qvec"]))
+    score = int8_dot(F.col("qvec"), codes, F.col("scale"), F.lit(q["scale"]).cast("float"))
+    scored = select_once(index, [id_col], F.struct(score.alias("score")))
+    return scored.orderBy(F.desc("score"), id_col).limit(max(k, 0))
 
 
 #: Queries are scanned in blocks of at most so many, to bound what every task holds.
