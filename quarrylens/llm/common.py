@@ -9,13 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Code points with the Unicode property White_Space (fixed values).
-WHITE_SPACE = "\t\n\v\f\r \x85\xa0                　"
+from ..functions.expr import let
 
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate value once and use it in body, within one expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+__all__ = ["STABLE", "let", "outside", "site_of", "without", "worker_state"]
 
 
 def site_of(path: Column) -> Column:

@@ -129,6 +129,29 @@ def candidate_pairs(texts: DataFrame, threshold: float, segments: int = SEGMENTS
     return pairs.join(a, "a").join(b, "b").where(differ <= _most(LONGER, threshold, SLACK + 1)).select("a", "b")
 
 
+def _linked_texts(rows: DataFrame, size: int, threshold: float, segments: int, width: int) -> DataFrame:
+    """(a, b, similarity) with a < b of the distinct texts of rows (id, file, text, t) that reach the threshold."""
+    from ..session import materialize
+
+    sets = rows.select("t", shingles(F.col("text"), size).alias("sh")).where("sh IS NOT NULL")
+    pairs = materialize(candidate_pairs(sets, threshold, segments, width), "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    once = rows.groupBy("t").agg(F.first("text").alias("text")).join(needed, "t", "left_semi")
+    held = materialize(once.select("t", shingles(F.col("text"), size).alias("sh")), "shingles")
+    both = F.size(F.array_intersect("sa", "sb"))
+    compared = pairs.join(held.select(F.col("t").alias("a"), F.col("sh").alias("sa")), "a").join(held.select(F.col("t").alias("b"), F.col("sh").alias("sb")), "b")
+    similar = compared.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
+    return similar.where(F.col("similarity") >= threshold)
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str, file_col: str, size: int) -> DataFrame:
+    """(id, file, text, t) of the rows with words enough for a shingle."""
+    rows = df.where(F.col(text_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.col(file_col).alias("file"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")
+    )
+    return rows.where(F.col("text").rlike(r"(?U)\S" + (r"\s+\S+" * (size - 2) + r"\s+\S" if size > 1 else "")))
+
+
 def near_duplicate_pairs(
     df: DataFrame,
     id_col: str = "chunk_id",
@@ -141,28 +164,71 @@ def near_duplicate_pairs(
 ) -> DataFrame:
     """(id_col_a, id_col_b, similarity), smaller id first: rows of different files whose similarity reaches the threshold.
 
-    Pairs are found between distinct texts, then expanded to the rows that hold them.
+    Pairs are found between distinct texts, then expanded to the rows that hold them. Where copies are so many that their
+    pairs cannot be listed, near_duplicate_groups says the same in one row a record.
     """
     from ..session import materialize
 
-    rows = df.where(F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(file_col).alias("file"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")
-    )
-    rows = rows.where(F.col("text").rlike(r"(?U)\S" + r"\s+\S+" * (size - 2) + r"\s+\S" if size > 1 else r"(?U)\S"))
-    sets = rows.select("t", shingles(F.col("text"), size).alias("sh")).where("sh IS NOT NULL")
-    pairs = materialize(candidate_pairs(sets, threshold, segments, width), "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    once = rows.groupBy("t").agg(F.first("text").alias("text")).join(needed, "t", "left_semi")
-    held = materialize(once.select("t", shingles(F.col("text"), size).alias("sh")), "shingles")
-    both = F.size(F.array_intersect("sa", "sb"))
-    compared = pairs.join(held.select(F.col("t").alias("a"), F.col("sh").alias("sa")), "a").join(held.select(F.col("t").alias("b"), F.col("sh").alias("sb")), "b")
-    similar = compared.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
+    rows = _rows(df, id_col, text_col, file_col, size)
     copies = rows.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     same = copies.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("similarity"))
-    linked = materialize(similar.where(F.col("similarity") >= threshold).unionByName(same), "linked")
+    linked = materialize(_linked_texts(rows, size, threshold, segments, width).unionByName(same), "linked")
     ends = linked.select(F.explode(F.array("a", "b")).alias("t")).distinct()
     members = materialize(rows.select("id", "file", "t").join(ends, "t", "left_semi"), "members")
     x = members.select(F.col("t").alias("a"), F.col("id").alias("i"), F.col("file").alias("fi"))
     y = members.select(F.col("t").alias("b"), F.col("id").alias("j"), F.col("file").alias("fj"))
     found = linked.join(x, "a").join(y, "b").where((F.col("fi") != F.col("fj")) & ((F.col("a") != F.col("b")) | (F.col("i") < F.col("j"))))
     return found.select(F.least("i", "j").alias(f"{id_col}_a"), F.greatest("i", "j").alias(f"{id_col}_b"), "similarity")
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """(v, label) of every end of the edges (a, b): the smallest id of its connected component.
+
+    Each round a vertex takes the smallest label around it, then its label's label; every round is written, so lineage
+    stays short and lost executors cost one round. Rounds grow with the logarithm of a component's width.
+    """
+    from ..session import materialize
+
+    both = materialize(edges.select(F.col("a").alias("v"), F.col("b").alias("w")).union(edges.select("b", "a")).distinct(), "edges")
+    labels = materialize(both.groupBy("v").agg(F.least("v", F.min("w")).alias("label")), "labels")
+    for _ in range(rounds):
+        seen = both.join(labels.select(F.col("v").alias("w"), F.col("label").alias("l")), "w").groupBy("v").agg(F.min("l").alias("l"))
+        lower = labels.join(seen, "v").select("v", F.least("label", "l").alias("label"), F.col("label").alias("old"))
+        jump = lower.join(labels.select(F.col("v").alias("label"), F.col("label").alias("far")), "label", "left")
+        new = materialize(jump.select("v", F.least("label", F.coalesce("far", "label")).alias("label"), "old"), "labels")
+        labels = new.select("v", "label")
+        if new.where("label <> old").isEmpty():
+            return labels
+    raise RuntimeError("components did not settle")
+
+
+def near_duplicate_groups(
+    df: DataFrame,
+    id_col: str = "chunk_id",
+    text_col: str = "text",
+    file_col: str = "file_path",
+    size: int = 3,
+    threshold: float = 0.6,
+    segments: int = SEGMENTS,
+    width: int = WIDTH,
+) -> DataFrame:
+    """(id_col, text_class, group_id, links): one row for each record with a near duplicate in another file.
+
+    text_class is the smallest id with exactly this text, group_id the smallest of the group, links the number of other
+    texts this one is linked to. Copies of a text are one class and never expanded into pairs.
+    """
+    from ..session import materialize
+
+    rows = _rows(df, id_col, text_col, file_col, size).where(F.col("file").isNotNull())
+    texts = rows.groupBy("t").agg(F.min("id").alias("first"), F.min("file").alias("f0"), F.max("file").alias("f1"))
+    texts = materialize(texts, "texts")
+    a, b = (texts.select(F.col("t").alias(x), F.col("first").alias(f"{x}_id"), F.col("f0").alias(f"{x}0"), F.col("f1").alias(f"{x}1")) for x in "ab")
+    linked = _linked_texts(rows, size, threshold, segments, width).join(a, "a").join(b, "b")
+    one_file = (F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1")) & (F.col("a0") == F.col("b0"))
+    edges = materialize(linked.where(~one_file).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "edges")
+    labels = components(edges)
+    links = edges.select("a").union(edges.select(F.col("b").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("links"))
+    classes = texts.join(labels.withColumnRenamed("v", "first"), "first", "left").join(links.withColumnRenamed("a", "first"), "first", "left")
+    classes = classes.where(F.col("label").isNotNull() | (F.col("f0") != F.col("f1")))
+    classes = classes.select("t", F.col("first").alias("text_class"), F.coalesce("label", "first").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.select("id", "t").join(classes, "t").select(F.col("id").alias(id_col), "text_class", "group_id", "links")

@@ -70,6 +70,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicate_pairs(_read(spark, d, "chunks")).select("chunk_id_a", "chunk_id_b")
 
 
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    from .near_duplicates import near_duplicate_groups
+
+    return near_duplicate_groups(_read(spark, d, "chunks"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from .term_weights import distinctive_terms
 

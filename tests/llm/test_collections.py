@@ -49,6 +49,38 @@ def test_near_duplicates_equal_brute_force(spark):
     got = [tuple(r) for r in near_duplicates.near_duplicate_pairs(df).select("chunk_id_a", "chunk_id_b").collect()]
     assert len(got) == len(set(got)) and set(got) == truth and (1006, 1007) in truth
     assert near_duplicates.near_duplicate_pairs(df.where("false")).count() == 0
+    parent = {i: i for p in truth for i in p}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in sorted(truth):
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    groups = {r["chunk_id"]: r for r in near_duplicates.near_duplicate_groups(df).collect()}
+    assert set(groups) >= set(parent)
+    for i in parent:
+        for j in parent:
+            if root(i) == root(j):
+                assert groups[i]["group_id"] == groups[j]["group_id"]
+    assert groups[1000]["text_class"] == 3 and groups[1001]["text_class"] == 3
+    assert near_duplicates.near_duplicate_groups(df.where("false")).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)], "a long, b long")
+    got = {r["v"]: r["label"] for r in near_duplicates.components(edges).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_a_mass_of_copies_gives_one_row_each(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    files = F.concat(F.lit("f"), F.col("id").cast("string"))
+    df = spark.range(3000).select(F.col("id").alias("chunk_id"), files.alias("file_path"), F.lit(text).alias("text"))
+    groups = near_duplicates.near_duplicate_groups(df)
+    assert groups.count() == 3000 and groups.select("group_id", "text_class").distinct().count() == 1
 
 
 def test_a_mass_of_copies_is_one_text(spark):
