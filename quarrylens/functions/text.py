@@ -85,3 +85,10 @@ def path_contains(path: Column, label: Column) -> Column:
 def query_contains(query: Column, keyword: Column) -> Column:
     """Substring containment after normalising both sides."""
     return F.contains(normalize(query), normalize(keyword))
+
+
+def html_escape(c: Column) -> Column:
+    """Text that can stand in a page; the ampersand goes first."""
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c

@@ -448,3 +448,50 @@ def watch_visits(spark, d):
     source = f"{shared_dir(spark)}/quarrylens/visits-{uuid.uuid4().hex}"
     files.repartition(4).write.parquet(source)
     return latest_visit_stream(spark, source, files.schema, source + "-out").select("path", "seen_at")
+
+
+# ---- the whole pipeline -------------------------------------------------------------------------------------------
+_FP = f"trim(regexp_replace(lower(text), '{WS}+', ' ', 'g'))"
+
+
+@_query(
+    f"""WITH RECURSIVE {_SEGMENTS} SELECT lpad(doc_id::VARCHAR, 12, '0') AS file_path, chunk_offset, {_norm('text')} AS norm_text,
+  row_number() OVER (ORDER BY doc_id, chunk_offset) AS chunk_id, count(*) OVER (PARTITION BY {_FP}) >= 2 AS is_boilerplate FROM chk"""
+)
+def index_documents(spark, d):
+    """Extracted texts through the engine: chunked, normalised, flagged, embedded by the stand-in, numbered, stored, read back."""
+    import uuid
+
+    from ..operators.engine import Config, Engine
+
+    engine = Engine(spark, Config(f"{shared_dir(spark)}/quarrylens/index-{uuid.uuid4().hex}"))
+    path = F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path")
+    engine.index_texts(table(spark, d, "documents").select(path, "text", F.lit(None).cast("string").alias("error")))
+    return engine.store.chunks().select("file_path", "chunk_offset", "norm_text", "chunk_id", "is_boilerplate")
+
+
+@_query("SELECT chunk_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS html FROM chunks")
+def escaped_texts(spark, d):
+    return table(spark, d, "chunks").select("chunk_id", T.html_escape(F.col("text")).alias("html"))
+
+
+@_query(
+    f"""WITH e AS (SELECT vector AS v, {_quant('vector')} FROM chunks WHERE {_USABLE} AND list_dot_product({_VEC}, {_VEC}) > 0),
+b AS (SELECT CAST(v AS DOUBLE[]) AS v, list_transform(qvec, lambda x: (x::FLOAT * scale)::FLOAT::DOUBLE) AS w FROM e)
+SELECT count(*) AS n, round(min(list_dot_product(v, w) / sqrt(list_dot_product(v, v) * list_dot_product(w, w))), 5) AS worst FROM b"""
+)
+def worst_cosine(spark, d):
+    """How far int8 vectors stray from their originals: the smallest cosine of any."""
+    rows = vectors.quantized(table(spark, d, "chunks"), keep=["vector"]).where("scale > 0")
+    same = V.cosine(F.col("vector"), V.dequantize_int8(F.col("qvec"), F.col("scale")))
+    return rows.agg(F.count(F.lit(1)).alias("n"), _round(F.min(same), 5).alias("worst"))
+
+
+@_query("SELECT count(*) AS total, count(*) - count(*) FILTER (is_boilerplate IS NOT TRUE) AS flagged, count(*) FILTER (chunk_id > (SELECT max(chunk_id) // 2 FROM chunks)) AS added FROM chunks")
+def index_progress(spark, d):
+    """Chunks in all, flagged, and added since a snapshot (half of the ids)."""
+    chunks = table(spark, d, "chunks")
+    since = chunks.agg(F.max("chunk_id")).first()[0] // 2
+    return chunks.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.coalesce("is_boilerplate", F.lit(False))).alias("flagged"), F.count_if(F.col("chunk_id") > since).alias("added")
+    )

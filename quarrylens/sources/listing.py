@@ -1,7 +1,8 @@
 """Folder listings as DataFrames, and the sets of folders an index knows.
 
 Spark's own file sources skip names that begin with an underscore and empty files, and match extensions by case; listing
-here does not. Folders are walked by the executors, one task a top-level folder, unless they are local to the driver.
+here does not. Folders are walked by the driver, or by the executors, one row a folder of the first level, where they share
+the file system.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ LISTING = "path string, length long, ext string, modified_at timestamp_ntz"
 UNSAFE = ("library", "system", "node_modules", "cache", "caches")
 
 
-def walk(root: str, extensions: Iterable[str] = EXTENSIONS) -> Iterator[tuple]:
+def walk(root: str, extensions: Iterable[str] = EXTENSIONS, deep: bool = True) -> Iterator[tuple]:
     """(path, length, ext, modified_at) below root: hidden folders (but the root) and hidden files are skipped.
 
     A missing root is an error, as is a folder that cannot be read.
@@ -33,7 +34,7 @@ def walk(root: str, extensions: Iterable[str] = EXTENSIONS) -> Iterator[tuple]:
         raise e
 
     for folder, folders, names in os.walk(root, onerror=stop):
-        folders[:] = sorted(f for f in folders if not f.startswith("."))
+        folders[:] = sorted(f for f in folders if not f.startswith(".")) if deep else []
         for name in sorted(names):
             ext = os.path.splitext(name)[1].lower()
             if not name.startswith(".") and ext in wanted:
@@ -43,11 +44,28 @@ def walk(root: str, extensions: Iterable[str] = EXTENSIONS) -> Iterator[tuple]:
                 yield path, stat.st_size, ext, when
 
 
-def list_files(spark: SparkSession, roots: str | list[str], extensions: Iterable[str] = EXTENSIONS) -> DataFrame:
-    """The listing of one or more folders (path, length, ext, modified_at)."""
-    roots = [roots] if isinstance(roots, str) else list(roots)
-    rows = [r for root in roots for r in walk(root, extensions)]  # names only; the files are read by the executors
-    return spark.createDataFrame(rows, LISTING)
+def list_files(spark: SparkSession, roots: str | list[str], extensions: Iterable[str] = EXTENSIONS, spread: bool = False) -> DataFrame:
+    """The listing of one or more folders (path, length, ext, modified_at). With spread the executors walk the folders of
+    the first level, and the driver holds only their names."""
+    roots, wanted = [roots] if isinstance(roots, str) else list(roots), tuple(extensions)
+    if not spread:
+        return spark.createDataFrame([r for root in roots for r in walk(root, wanted)], LISTING)  # names only
+    top, flat = [], []
+    for root in roots:
+        for e in sorted(os.scandir(root), key=lambda e: e.name):
+            if e.is_dir() and not e.name.startswith("."):
+                top.append((e.path,))
+        flat += [r for r in walk(root, wanted, deep=False)]
+
+    def run(parts: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in parts:
+            rows = [r for folder in pdf["path"] for r in walk(folder, wanted)]
+            yield pd.DataFrame(rows, columns=["path", "length", "ext", "modified_at"]).astype({"modified_at": "datetime64[us]"})
+
+    below = spark.createDataFrame(top, "path string").repartition(max(1, len(top))).mapInPandas(run, LISTING)
+    return spark.createDataFrame(flat, LISTING).unionByName(below)
 
 
 def only_extensions(files: DataFrame, extensions: Iterable[str] | None, ext_col: str = "ext") -> DataFrame:

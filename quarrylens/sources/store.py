@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 CHUNKS = "chunk_id long, file_path string, text string, norm_text string, chunk_offset int, is_boilerplate boolean, vector array<float>"
+SINCE = "file_path string, since long"
 DIRS = "dir string, seq int"
 
 
 class ChunkStore:
-    """Chunks below a folder. Appending adds files and rewrites nothing; replacing swaps in a new version.
+    """Chunks below a folder. Appending and replacing add files and rewrite nothing.
 
-    Every version is a folder of its own, named by the file `current`, so readers see whole versions only.
+    Every write has an epoch. Replacing files appends their new rows and then, for each file, the epoch from which its rows
+    count; readers leave older rows out. compact() writes what is left as a new version, a folder named by the file
+    `current`, so readers see whole versions only.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -44,6 +47,7 @@ class ChunkStore:
         fs.rename(new, at)
         if old != version:
             fs.delete(path(f"{self.path}/chunks-{old}"), True)
+            fs.delete(path(f"{self.path}/since-{old}"), True)
 
     def _read(self, where: str, schema: str) -> DataFrame:
         try:
@@ -55,20 +59,42 @@ class ChunkStore:
 
     def chunks(self) -> DataFrame:
         """All chunks; none where the store does not exist yet. A broken file is an error when it is read."""
-        return self._read(f"{self.path}/chunks-{self._version()}", CHUNKS)
+        version = self._version()
+        rows = self._read(f"{self.path}/chunks-{version}", CHUNKS + ", epoch long")
+        if self._exists(f"{self.path}/since-{version}"):
+            since = self._read(f"{self.path}/since-{version}", SINCE).groupBy("file_path").agg(F.max("since").alias("since"))
+            rows = rows.join(since, "file_path", "left").where(F.col("since").isNull() | (F.col("epoch") >= F.col("since")))
+        return rows.select(*self.spark.createDataFrame([], CHUNKS).columns)
 
     def append(self, chunks: DataFrame) -> None:
-        self._shaped(chunks).write.mode("append").parquet(f"{self.path}/chunks-{self._version()}")
+        """Add chunks beside what is there, even of the same files."""
+        version = self._version()
+        rows = self._shaped(chunks).withColumn("epoch", F.lit(self._epoch(version)).cast("long"))
+        rows.write.mode("append").parquet(f"{self.path}/chunks-{version}")
 
     def replace_files(self, chunks: DataFrame, paths: DataFrame | None = None) -> None:
         """Put chunks in place of all rows of their files (or of the files in paths): indexing twice changes nothing."""
+        version = self._version()
+        epoch = self._epoch(version) + 1
         new = self._shaped(chunks)
-        gone = (paths if paths is not None else new).select("file_path").distinct()
-        kept = self.chunks().join(gone, "file_path", "left_anti").select(*new.columns)
+        new.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("append").parquet(f"{self.path}/chunks-{version}")
+        files = (paths if paths is not None else new).select("file_path").distinct()
+        files.withColumn("since", F.lit(epoch).cast("long")).write.mode("append").parquet(f"{self.path}/since-{version}")
+
+    def compact(self) -> None:
+        """Write the rows that count as a new version and drop the old one."""
         version = uuid.uuid4().hex
-        kept.unionByName(new).write.parquet(f"{self.path}/chunks-{version}")
+        self.chunks().withColumn("epoch", F.lit(0).cast("long")).write.parquet(f"{self.path}/chunks-{version}")
         self._publish(version)
 
+    def _epoch(self, version: str) -> int:
+        """The epoch of the last replacement."""
+        return self._read(f"{self.path}/since-{version}", SINCE).agg(F.max("since")).first()[0] or 0
+
+    def _exists(self, where: str) -> bool:
+        fs, path = self._fs()
+        return fs.exists(path(where))
+
     def _shaped(self, chunks: DataFrame) -> DataFrame:
         wanted = self.spark.createDataFrame([], CHUNKS).schema
         have = set(chunks.columns)

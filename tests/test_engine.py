@@ -62,6 +62,8 @@ def tree(tmp_path):
 def test_listing(spark, tree):
     names = {r["path"].rsplit("/", 1)[1] for r in listing.list_files(spark, str(tree)).collect()}
     assert names == {"nghiệm thu (1).txt", "_báo giá.md", "empty.txt", "bad.docx"}
+    spread = listing.list_files(spark, str(tree), spread=True).select("path", "length", "modified_at").collect()
+    assert sorted(spread) == sorted(listing.list_files(spark, str(tree)).select("path", "length", "modified_at").collect())
     with pytest.raises(FileNotFoundError):
         listing.list_files(spark, str(tree / "gone"))
     files = listing.list_files(spark, str(tree))
@@ -88,6 +90,10 @@ def test_index_search_and_replace(spark, tree, tmp_path):
     assert engine.store.count() == 4  # appending keeps the old rows
     engine.index(str(tree), IndexOptions(replace=True))
     assert engine.store.count() == 2
+    engine.store.compact()
+    assert engine.store.count() == 2
+    engine.index(str(tree))
+    engine.index(str(tree), IndexOptions(replace=True))
     assert engine.status() == {"chunks": 2, "files": 2}
     assert [r["dir"] for r in engine.store.indexed_dirs().collect()] == [str(tree)]
     assert engine.store.get_chunk(engine.store.max_id())["text"]
