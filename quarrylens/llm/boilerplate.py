@@ -46,9 +46,9 @@ def line_form(line: Column) -> Column:
 def site_lines(chunks: DataFrame, id_col: str = "chunk_id", path_col: str = "file_path", text_col: str = "text") -> DataFrame:
     """(site, file_path, line): the non-empty line forms, repeats included."""
     base = chunks.select(site_of(F.col(path_col)).alias("site"), F.col(path_col).alias("file_path"), F.col(text_col).alias("_text"))
-    base = base.where(F.col("site").isNotNull() & F.col("_text").isNotNull()).withColumn("_text", nfc(F.col("_text")))
-    lines = base.select("site", "file_path", F.explode(F.split("_text", "\n")).alias("_line"))
-    return lines.select("site", "file_path", line_form(F.col("_line")).alias("line")).where("line <> ''")
+    base = base.where(F.col("site").isNotNull() & F.col("file_path").isNotNull() & F.col("_text").isNotNull()).withColumn("_text", nfc(F.col("_text")))
+    # the form is made inside the generator: a filter on its output is not pushed below it, where it would be made again
+    return base.select("site", "file_path", F.explode(F.transform(F.split("_text", "\n"), line_form)).alias("line")).where("line <> ''")
 
 
 def repeated_lines(
