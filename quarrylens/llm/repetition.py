@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import select_once
 from .common import let
 
 RUN = 8
@@ -66,24 +67,43 @@ def _repeated_parts(parts: Column) -> Column:
     return let(kept, lambda p: F.when(F.size(F.array_distinct(p)) == F.size(p), F.lit(0.0)).otherwise(1 - chars(F.array_distinct(p)) / chars(p)))
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """All measures a rule may name."""
-    words, lines = _words(text), F.split(text, "\n")
-    n = let(words, F.size)
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    size = F.nullif(F.length(text), F.lit(0))
+def _word_measures(w: Column) -> dict[str, Column]:
+    n = F.nullif(F.size(w), F.lit(0))
     return {
-        "n_words": n,
-        "mean_word_length": let(words, lambda w: F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / F.nullif(F.size(w), F.lit(0))),
-        "symbol_share": (F.length(text) - F.length(F.regexp_replace(text, r"[\p{S}#…•]", ""))) / size,
-        "stop_word_share": let(words, lambda w: F.size(F.filter(w, lambda x: F.array_contains(stop, x))) / F.nullif(F.size(w), F.lit(0))),
-        "ellipsis_line_share": let(lines, lambda p: F.size(F.filter(p, lambda x: x.rlike(r"(?:…|\.\.\.)\s*$"))) / F.nullif(F.size(p), F.lit(0))),
+        "n_words": F.size(w),
+        "mean_word_length": F.length(F.array_join(w, "")) / n,
+        "stop_word_share": F.size(F.filter(w, lambda x: x.isin(STOP_WORDS))) / n,
+        "repeated_share": repeated_share(w),
+    }
+
+
+def _text_measures(text: Column) -> dict[str, Column]:
+    lines = F.split(text, "\n")
+    ellipsis = F.size(F.filter(lines, lambda x: x.rlike(r"(?:…|\.\.\.)\s*$")))
+    return {
+        "symbol_share": (F.length(text) - F.length(F.regexp_replace(text, r"[\p{S}#…•]+", ""))) / F.nullif(F.length(text), F.lit(0)),
+        "ellipsis_line_share": ellipsis / F.size(lines),
         "repeated_line_share": _repeated_parts(lines),
         "repeated_paragraph_share": _repeated_parts(F.split(text, r"\n\s*\n")),
-        "repeated_share": repeated_share(words),
     }
 
 
+MEASURES = (
+    "n_words", "mean_word_length", "symbol_share", "stop_word_share", "ellipsis_line_share", "repeated_line_share",
+    "repeated_paragraph_share", "repeated_share",
+)
+
+
+def measure(text: Column, names) -> Column:
+    """struct of the named measures; the words are split once."""
+
+    def fields(w: Column) -> Column:
+        values = _word_measures(w) | _text_measures(text)
+        return F.struct(*(values[name].alias(name) for name in names))
+
+    return let(F.coalesce(_words(text), F.array().cast("array<string>")), fields)
+
+
 def compile_rules(rules, values: dict[str, Column]) -> dict[str, Column]:
     """One boolean Column for each row of the threshold table."""
     compare = {">=": "__ge__", ">": "__gt__", "<": "__lt__", "<=": "__le__"}
@@ -91,17 +111,18 @@ def compile_rules(rules, values: dict[str, Column]) -> dict[str, Column]:
 
 
 def repetition_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
-    """(id_col, every measure the rules use, failed: the names of the rules the document fails), in one projection."""
-    values = measures(F.col(text_col))
-    used = list(dict.fromkeys(measure for _, measure, _, _ in rules))
-    shown = df.select(F.col(id_col).alias("_id"), *(values[m].alias(m) for m in used))
+    """(id_col, the measures the rules use, failed: the names of the rules the document fails), in one pass."""
+    used = [m for m in MEASURES if any(m == r[1] for r in rules)]
+    names = [m for m in MEASURES if m in used or m == "n_words"]
+    shown = select_once(df, [F.col(id_col).alias("_id")], measure(F.col(text_col), names))
     hit = compile_rules(rules, {m: F.col(m) for m in used})
-    failed = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in hit.items())))
-    return shown.select(F.col("_id").alias(id_col), *used, F.when(F.col("repeated_share").isNotNull(), failed).otherwise(F.array().cast("array<string>")).alias("failed") if "repeated_share" in used else failed.alias("failed"))
+    failed = F.array_compact(F.array(*(F.when((F.col("n_words") > 0) & c, F.lit(name)) for name, c in hit.items())))
+    return shown.select(F.col("_id").alias(id_col), *(F.when(F.col("n_words") > 0, F.col(m)).alias(m) for m in used), failed.alias("failed"))
 
 
 def documents_failing(df: DataFrame, rule: str, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
     """(id_col) of the documents that fail one rule; only this rule's measure is computed."""
     own = [r for r in rules if r[0] == rule]
-    condition = compile_rules(own, measures(F.col(text_col)))[rule]
-    return df.where(condition).select(id_col)
+    value = measure(F.col(text_col), ["n_words", own[0][1]] if own[0][1] != "n_words" else ["n_words"])
+    shown = select_once(df, [F.col(id_col).alias("_id")], value).where("n_words > 0")
+    return shown.where(compile_rules(own, {own[0][1]: F.col(own[0][1])})[rule]).select(F.col("_id").alias(id_col))
