@@ -1,10 +1,10 @@
 """Mixing sources to target shares of tokens, by systematic sampling.
 
 Every source gets a rate, the expected copies of each of its documents: target tokens over tokens at hand, at most its
-max_repeats. The documents of a source stand in a line (by size, then hash), their expected copies are summed along it, one
-random offset is added, and a document is emitted once for each whole number its sum crosses. Standing by size, the tokens
-come out as evenly as the documents. The sums are built from blocks (source, size, part of a hash), counted first, so that
-no task ever holds a whole source.
+max_repeats. The documents of a source stand in a line, their expected copies are summed along it, one random offset is
+added, and a document is emitted once for each whole number its sum crosses. The line is made of blocks of about PER_BLOCK
+documents, drawn by hash and counted first, so that no task holds a whole source; within a block documents stand by size,
+so that the tokens come out as evenly as the documents.
 
 The size of the mix, unless given, is the largest at which max_repeats lets every source that has tokens reach its target;
 shares of sources without tokens are spread over the others in proportion. With a given size, sources short of documents
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .tokenizing import DEFAULT_VOCABULARY, count_tokens
 
-#: Documents that a block of the line may hold on average.
+#: Documents of a block of the line, on average.
 PER_BLOCK = 50_000
 
 
@@ -63,10 +63,11 @@ def mix_sources(
     parts = max([1, *(-(-n // PER_BLOCK) for _, n in sizes.values())])
     plan = spark.createDataFrame([(s, r, offsets[s]) for s, r in rates.items()], "_source string, rate double, offset double")
     line = counted.withColumn("part", F.pmod(F.xxhash64("_id"), F.lit(parts)))
-    block = ["_source", "n_tokens", "part"]
-    before = Window.partitionBy("_source").orderBy("n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)
+    block = ["_source", "part"]
+    before = Window.partitionBy("_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     heads = line.groupBy(*block).agg(F.count(F.lit(1)).alias("m")).withColumn("ahead", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")
-    placed = line.withColumn("place", F.row_number().over(Window.partitionBy(*block).orderBy(F.xxhash64("_id"), "_id"))).join(heads, block)
+    place = F.row_number().over(Window.partitionBy(*block).orderBy("n_tokens", F.xxhash64("_id"), "_id"))
+    placed = line.withColumn("place", place).join(heads, block)
     placed = placed.join(F.broadcast(plan), "_source")  # one row a source of the settings
     at = F.col("ahead") + F.col("place")
     copies = F.floor(F.col("offset") + F.col("rate") * at) - F.floor(F.col("offset") + F.col("rate") * (at - 1))

@@ -1,7 +1,7 @@
 """Repetition inside single documents: a table of thresholds compiled into one projection.
 
-Every measure is a built-in Column expression over the row's own text, so all rules of the table are evaluated in one pass
-over the documents, without a shuffle and without user functions. The repeated share hashes each run of eight words once;
+Every measure is a built-in Column expression over the row's own text, all in one struct that is made once a row, so all
+rules of the table are evaluated in one pass over the documents, without a shuffle and without user functions. The repeated share hashes each run of eight words once;
 only documents in which a run returns go on to find the words that lie in returning runs.
 
 Defined results: a document without words (null, empty, blank) has null measures and fails no rule. Very long texts are
