@@ -115,11 +115,15 @@ def look_alike_pairs(df: DataFrame, id_col: str = "chunk_id", text_col: str = "t
     """(id_col_a, id_col_b), smaller id first: rows whose texts differ but have one consistent spelling.
 
     Texts travel as digests. Spelling classes are found first; members are paired between two classes of one spelling,
-    never within a class, so a mass of exact copies costs nothing unless it has a second spelling.
+    never within a class, so a mass of exact copies costs nothing unless it has a second spelling. Rows without an id don't
+    pair.
     """
+    from ..session import materialize
+
     text = F.col(text_col)
-    rows = df.where(text.rlike(r"(?U)[^\s\p{Cf}]")).select(F.col(id_col).alias("_id"), text.alias("_text"))
-    keyed = rows.select("_id", F.unhex(F.md5(canonical(F.col("_text")))).alias("k"), F.unhex(F.md5("_text")).alias("t"))
+    rows = df.where(F.col(id_col).isNotNull() & text.rlike(r"(?U)[^\s\p{Cf}]")).select(F.col(id_col).alias("_id"), text.alias("_text"))
+    digests = rows.select("_id", F.unhex(F.md5(canonical(F.col("_text")))).alias("k"), F.unhex(F.md5("_text")).alias("t"))
+    keyed = materialize(digests, "spellings")  # 40 bytes a row; read three times
     classes = keyed.groupBy("k", "t").agg(F.count(F.lit(1)).alias("m"))
     several = classes.groupBy("k").agg(F.count(F.lit(1)).alias("spellings")).where("spellings > 1").select("k")
     members = keyed.join(several, "k", "left_semi")
