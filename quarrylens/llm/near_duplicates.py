@@ -14,7 +14,7 @@ threshold that differ in 3.5 deviations more are left out, 0.0003 of them, and f
 A text is known by its 64-bit hash, so exact copies are one text; workers drop copies before anything is shuffled, and
 rows are joined back at the end. Texts travel once, for verification, without their copies.
 
-Defined results: null texts and texts of fewer words than a shingle never pair, nor do rows without a file; repeated rows
+Defined results: null texts and texts of fewer words than a shingle never pair, nor do rows without a file or id; repeated rows
 are rows of their own; an empty table gives no pairs.
 """
 
@@ -146,7 +146,7 @@ def _linked_texts(rows: DataFrame, size: int, threshold: float, segments: int, w
 
 def _rows(df: DataFrame, id_col: str, text_col: str, file_col: str, size: int) -> DataFrame:
     """(id, file, text, t) of the rows with words enough for a shingle."""
-    rows = df.where(F.col(text_col).isNotNull()).select(
+    rows = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(file_col).alias("file"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")
     )
     return rows.where(F.col("text").rlike(r"(?U)\S" + (r"\s+\S+" * (size - 2) + r"\s+\S" if size > 1 else "")))

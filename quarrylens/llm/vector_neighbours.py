@@ -9,8 +9,8 @@ once as an entry and once for each block its query visits, and blocks that hold
 Of more than k + 1 equal vectors only the k + 1 with the smallest ids can be among the k nearest of anything (ties go to
 the smaller id), so the others are not indexed; as queries they get the first k of their group, which is exact.
 
-Defined results: vectors that are null, empty, all zero, of another length than most, or hold a null, NaN or infinity take
-part in nothing. Repeated rows are neighbours of similarity 1. An empty table gives no rows.
+Defined results: vectors that are null, empty, all zero, of another length than most, or hold a null, NaN or infinity, and
+rows without an id, take part in nothing. Repeated rows are neighbours of similarity 1. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ PER_CELL, MOST_CENTROIDS = 64, 512
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v) of the vectors that can be compared."""
     v = F.col(vec_col).cast("array<float>")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.size("v") > 0)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where((F.size("v") > 0) & F.col("id").isNotNull())
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dim = sizes["d"] if sizes else 0
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))

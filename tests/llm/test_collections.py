@@ -37,7 +37,8 @@ def test_near_duplicates_equal_brute_force(spark):
         rows += [" ".join(edited(rng, base)) for _ in range(3)] + [" ".join(base)]
     rows = [(i, f"f{i % 7}", t) for i, t in enumerate(rows)]
     rows += [(1000, "f1", rows[3][2]), (1001, "g", rows[3][2]), (1002, "g", "một hai"), (1003, "h", "một hai"), (1004, "h", None), (1005, "i", ""), (1006, "j", "một hai ba"), (1007, "k", "MỘT  hai ba")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "chunk_id long, file_path string, text string, sig string")
+    nulls = [(None, "z", rows[3][2], "x"), (2000, None, rows[3][2], "x"), (None, None, None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows] + nulls, "chunk_id long, file_path string, text string, sig string")
     sets = {i: (f, shingle_set(t)) for i, f, t in rows if t and len(t.split()) >= 3}
     truth = set()
     for a in sets:
@@ -127,7 +128,7 @@ def brute_top(rows, k=10):
 
 def test_neighbours(spark):
     rows = vectors()
-    df = spark.createDataFrame([(*r, "x") for r in rows], "chunk_id long, vector array<float>, rank string")
+    df = spark.createDataFrame([(*r, "x") for r in rows] + [(None, rows[1][1], "x"), (None, None, None)], "chunk_id long, vector array<float>, rank string")
     top = brute_top(rows)
     near = vector_neighbours.nearest_neighbours(df, visit=10_000).collect()
     got = {}

@@ -69,7 +69,7 @@ def test_stable_blocks_need_no_normalising():
 
 
 def test_pairs_of_look_alikes(spark):
-    rows = [(1, "a", "tên một"), (2, "b", "te\u0302n một"), (3, "c", "tên một"), (4, "d", "tên\u00a0một"), (5, "e", "Tên một"), (6, "f", None), (7, "g", " "), (8, "h", "\u00a0"), (9, "i", "tên\nmột")]
+    rows = [(1, "a", "tên một"), (2, "b", "te\u0302n một"), (3, "c", "tên một"), (4, "d", "tên\u00a0một"), (5, "e", "Tên một"), (6, "f", None), (7, "g", " "), (8, "h", "\u00a0"), (9, "i", "tên\nmột"), (None, "j", "tên\u00a0một"), (None, None, None)]
     pairs = {tuple(r) for r in lookalikes.look_alike_pairs(frame(spark, rows)).collect()}
     assert pairs == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
     out = {r["chunk_id"]: r for r in lookalikes.normalize_spelling(frame(spark, rows)).collect()}
