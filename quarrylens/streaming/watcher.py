@@ -78,10 +78,9 @@ def watch_folder(engine: Engine, folder: str, options: IndexOptions | None = Non
     return sink.trigger(processingTime=every).start()
 
 
-def latest_visit_stream(spark: SparkSession, visits_path: str, schema, out: str, late: str = "30 days") -> DataFrame:
-    """The newest visit of each path from a stream of visits, with late visits allowed up to `late` behind the newest.
-
-    State is one row a path; what a batch changed is merged into the table at out.
+def latest_visit_stream(spark: SparkSession, visits_path: str, schema, out: str) -> DataFrame:
+    """The newest visit of each path from a stream of visits. State is one row a path, so a visit may come late by any time;
+    each batch writes the paths it changed to a part of the table at out, and a repeated batch writes the same part again.
     """
     visits = spark.readStream.schema(schema).parquet(visits_path).where(F.col("seen_at").isNotNull())
     newest = visits.groupBy("path").agg(F.max(F.struct("seen_at", "modified_at", "length", "ext")).alias("v"))
