@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import let, select_once
@@ -60,6 +60,38 @@ class Bm25Index:
         terms = terms.select("term", "df", idf(F.col("_n"), F.col("df")).alias("idf"))
         return cls(postings, terms, stats, id_col)
 
+    def save(self, path: str) -> None:
+        """Write the tables; postings in the order of (term, id), so a search reads only the row groups of its terms.
+
+        The order is by range of both, so a term that very many records hold is spread over several files.
+        """
+        order = ["term", self.id_col]
+        self.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+        self.terms.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+        self.stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, id_col: str = "chunk_id") -> Bm25Index:
+        postings, terms, stats = (spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "stats"))
+        return cls(postings, terms, stats, id_col)
+
+    def search(self, query: str, k: int) -> DataFrame:
+        """(id, score) of the k best records for one query, best first. Only postings of its words are read."""
+        spark = self.postings.sparkSession
+        asked = spark.range(1).select(tokens(normalize(F.lit(query))).alias("w")).first()["w"] or []
+        known = {r["term"]: r["idf"] for r in self.terms.where(F.col("term").isin(asked)).collect()} if asked else {}
+        if not known or k <= 0:
+            return self.postings.where(F.lit(False)).select(self.id_col, F.lit(0.0).alias("score"))
+        avgdl = self.stats.first()["avgdl"]
+        weight, times = F.lit(0.0), F.lit(0)
+        for term, value in known.items():
+            weight = F.when(F.col("term") == term, F.lit(value)).otherwise(weight)
+            times = F.when(F.col("term") == term, F.lit(asked.count(term))).otherwise(times)
+        one = term_score(weight, F.col("tf"), F.col("dl"), F.lit(avgdl)).cast("float").cast("double")
+        hits = self.postings.where(F.col("term").isin(list(known)))
+        scored = hits.groupBy(self.id_col).agg(F.sum(one * times).alias("score")).where("score > 0")
+        return scored.orderBy(F.desc("score"), self.id_col).limit(k)
+
     def search_many(self, queries: DataFrame, k: int, query_id: str = "query_id", query_col: str = "query", as_float: bool = True) -> DataFrame:
         """(query_id, id, score, rank): the k best records of every query; a repeated query word counts again.
 

@@ -162,6 +162,16 @@ def bm25_topk(spark, d):
     return bm25.bm25_search(table(spark, d, "chunks"), QUERY, K).select("chunk_id", _round(F.col("score"), 5).alias("score"))
 
 
+@_query(_SQL["bm25_topk"])
+def bm25_saved_index(spark, d):
+    """The same search over an index that was built once, written in the order of its terms and read back."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/quarrylens/bm25-{uuid.uuid4().hex}"
+    bm25.Bm25Index.build(table(spark, d, "chunks")).save(path)
+    return bm25.Bm25Index.load(spark, path).search(QUERY, K).select("chunk_id", _round(F.col("score"), 5).alias("score"))
+
+
 _BATCH = f"""words AS (SELECT chunk_id, {_words('norm_text')} AS w FROM chunks WHERE norm_text IS NOT NULL),
 dl AS (SELECT chunk_id, len(w) AS dl FROM words WHERE len(w) > 0), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 q AS (SELECT pair_id, unnest({_words(_norm('query'))}) AS term FROM ranking_pairs WHERE query IS NOT NULL),

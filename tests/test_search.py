@@ -42,6 +42,16 @@ def test_bm25_equals_brute_force(spark, docs, query):
     assert [r["chunk_id"] for r in many.orderBy("rank").collect()] == [i for i, _ in want]
 
 
+def test_saved_index(spark, docs, tmp_path, capsys):
+    bm25.Bm25Index.build(docs).save(str(tmp_path))
+    index = bm25.Bm25Index.load(spark, str(tmp_path))
+    for query in ("be tong", "tong tong mac", "cat"):
+        assert [r["chunk_id"] for r in index.search(query, 10).collect()] == [i for i, _ in brute_bm25(query)]
+    assert index.search("", 5).count() == index.search("be", 0).count() == index.search("unknown", 5).count() == 0
+    index.search("cat", 5).explain("formatted")
+    assert "EqualTo(term,cat)" in capsys.readouterr().out
+
+
 def test_bm25_empty_cases(spark, docs):
     assert bm25.bm25_search(docs, "  ", 5).count() == 0
     assert bm25.bm25_search(docs, "be", 0).count() == 0
