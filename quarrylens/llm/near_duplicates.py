@@ -1,18 +1,20 @@
 """Near-duplicate records by deletion-variant signatures.
 
-Each distinct text becomes a vector of minimum hashes over its word shingles; two texts of similarity s differ in each
-position with probability 1 - s. The vector is cut into segments, so few that similar vectors have one that differs in at
-most one position: with m segments that is certain for fewer than 2m differing positions. Of every segment the variants
-with one position replaced by a wildcard are indexed and equal variants are joined. A variant carries a sketch of its text, 64
-one-bit minimum hashes, which the join compares; what passes is compared by 128 more and verified by the similarity of the
-two shingle sets. Nothing else is compared, and no bucket or partner is capped.
-
-With segments of five positions a pair of similarity s is missed with probability (1 - 5 s^4 (1 - s) - s^5)^m: for m = 18,
-0.0006 at s = 0.6, 0.00006 at 0.65 and 1e-9 at 0.8. A sketch bit differs with probability (1 - s) / 2; pairs at the
-threshold that differ in 3.5 deviations more are left out, 0.0003 of them, and fewer above it.
-
-A text is known by its 64-bit hash, so exact copies are one text; workers drop copies before anything is shuffled, and
-rows are joined back at the end. Texts travel once, for verification, without their copies.
+Each distinct text becomes a vector of 48 minimum hashes of 16 bits over its word shingles; two texts of similarity s differ
+in each position with probability 1 - s. The vector is cut into segments, so few that similar vectors have one that differs
+in at most one position: with m segments that is certain for fewer than 2m differing positions. A segment of four positions
+is one long. Of every segment the variants with one position replaced by a wildcard are indexed: the wildcard's place holds
+the number of segment and place. Equal variants are joined. A variant carries 64 one-bit minimum hashes of its text, which
+the join compares; what passes is compared by 192 of them and verified by the similarity of the two shingle sets. Nothing
+else is compared, and no bucket or partner is capped.
+
+With segments of four positions a pair of similarity s is missed with probability (1 - 4 s^3 (1 - s) - s^4)^12: 0.0004 at
+s = 0.6, 0.00004 at 0.65 and 3e-9 at 0.8. A sketch bit differs with probability (1 - s) / 2; pairs at the threshold that
+differ in 4 deviations more are left out, 0.0001 of them, and fewer above it.
+
+A text is known by its 64-bit hash. Workers drop copies before anything is shuffled, and one table of signatures (one row a
+distinct text) serves the variants and the sketches. Texts are read again for pairs that pass only: a bit table of bounded
+size keeps the others out of the shuffle.
 
 Defined results: null texts and texts of fewer words than a shingle never pair, nor do rows without a file or id; repeated rows
 are rows of their own; an empty table gives no pairs.
@@ -28,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENTS, WIDTH = 18, 5
-#: Bits of the sketches that candidates are compared by, in the join and after it, and the deviations allowed.
-SKETCH, LONGER, SLACK = 64, 128, 3.5
+#: Segments of the vector; a segment is WIDTH positions of 16 bits, which fill a long.
+SEGMENTS, WIDTH = 12, 4
+#: Bits of the sketch that candidates are compared by (the first 64 in the join), and the deviations allowed.
+SKETCH, SLACK = 192, 4.0
 _WS = r"(?U)\s+"
 
 
@@ -64,10 +67,14 @@ def _minima(lists: pa.Array, count: int, seed: int) -> np.ndarray:
     return least
 
 
-def _signer(segments: int, width: int):
-    """(text, sketch, sig): the deletion variants of every segment of every text's vector, each text once a task."""
-    salt = np.random.RandomState(21).randint(1, 2**62, size=(segments, width, 1)).astype(np.uint64)
-    place = np.uint64(1) << np.arange(SKETCH, dtype=np.uint64)[:, None]
+def _columns(segments: int) -> list[str]:
+    return [f"g{i}" for i in range(segments)] + [f"k{i}" for i in range(SKETCH // 64)]
+
+
+def _signer(segments: int):
+    """(t, g0.., k0..): segments and sketch of every text, each text once a task."""
+    places = np.uint64(1) << np.arange(64, dtype=np.uint64)[:, None]
+    shifts = (np.uint64(16) * np.arange(WIDTH, dtype=np.uint64))[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -84,60 +91,64 @@ def _signer(segments: int, width: int):
                 if not new:
                     continue
                 part = part.take(pa.array(new))
-                minima = _minima(part.column(1), segments * width + SKETCH, 20)
-                bits = (minima[segments * width :] >> np.uint64(7)) & np.uint64(1)
-                sketch = (bits * place).sum(axis=0, dtype=np.uint64)
-                spread = _mix((minima[: segments * width].reshape(segments, width, -1) + salt) * np.uint64(0x9E3779B97F4A7C15))
-                # a variant is the sum over the segment without the wildcard's position, told apart by segment and wildcard
-                variants = _mix(spread.sum(axis=1, keepdims=True, dtype=np.uint64) - spread + salt)
-                text = np.tile(part.column(0).to_numpy(), segments * width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(text), pa.array(np.tile(sketch, segments * width).view(np.int64)), pa.array(variants.reshape(-1).view(np.int64))],
-                    names=["text", "sketch", "sig"],
-                )
+                minima = _minima(part.column(1), segments * WIDTH + SKETCH, 20)
+                short = _mix(minima[: segments * WIDTH] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+                packed = (short.reshape(segments, WIDTH, -1) << shifts).sum(axis=1, dtype=np.uint64)
+                bits = (minima[segments * WIDTH :] >> np.uint64(7)) & np.uint64(1)
+                sketch = (bits.reshape(SKETCH // 64, 64, -1) * places).sum(axis=1, dtype=np.uint64)
+                longs = [pa.array(row.view(np.int64)) for row in (*packed, *sketch)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *longs], names=["t", *_columns(segments)])
 
     return run
 
 
-def _sketcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(t, k1, k2): LONGER one-bit minimum hashes of every text, as two numbers."""
-    place = np.uint64(1) << np.arange(64, dtype=np.uint64)[:, None]
-    for batch in batches:
-        for s in range(0, batch.num_rows, 2000):
-            part = batch.slice(s, 2000)
-            bits = (_minima(part.column(1), LONGER, 22) >> np.uint64(7)) & np.uint64(1)
-            k1, k2 = ((bits[x : x + 64] * place).sum(axis=0, dtype=np.uint64).view(np.int64) for x in (0, 64))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(k1), pa.array(k2)], names=["t", "k1", "k2"])
+def signatures(texts: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(t, g0.., k0..): one row for each distinct text of (t, sh)."""
+    names = _columns(segments)
+    signed = texts.select("t", "sh").mapInArrow(_signer(segments), "t bigint, " + ", ".join(f"{c} bigint" for c in names))
+    return signed.groupBy("t").agg(*(F.first(c).alias(c) for c in names))
+
+
+def variants(signed: DataFrame, segments: int = SEGMENTS) -> DataFrame:
+    """(sig, t, k0): every segment with one position replaced by a wildcard."""
+
+    def variant(i: int, p: int) -> Column:
+        kept = np.uint64(0xFFFFFFFFFFFFFFFF) ^ (np.uint64(0xFFFF) << np.uint64(16 * p))
+        tag = np.uint64(i * WIDTH + p + 1) << np.uint64(16 * p)
+        return F.col(f"g{i}").bitwiseAND(F.lit(int(kept.astype(np.int64)))).bitwiseOR(F.lit(int(tag.astype(np.int64))))
+
+    return signed.select(F.explode(F.array(*(variant(i, p) for i in range(segments) for p in range(WIDTH)))).alias("sig"), "t", "k0")
 
 
-def _most(bits: int, threshold: float, slack: float) -> int:
-    """Bits in which two sketches may differ: what is expected at the threshold and so many deviations more."""
+def most_bits(bits: int, threshold: float) -> int:
+    """Bits in which two sketches may differ: what is expected at the threshold and SLACK deviations more."""
     p = (1 - threshold) / 2
-    return math.floor(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
 
 
-def candidate_pairs(texts: DataFrame, threshold: float, segments: int = SEGMENTS, width: int = WIDTH) -> DataFrame:
-    """(a, b) with a < b of the texts (t, sh) that share a variant and whose sketches, short and long, are near enough."""
-    sigs = texts.mapInArrow(_signer(segments, width), "text bigint, sketch bigint, sig bigint")
-    left = sigs.select("sig", F.col("text").alias("a"), F.col("sketch").alias("ka"))
-    right = sigs.select("sig", F.col("text").alias("b"), F.col("sketch").alias("kb"))
-    near = F.bit_count(F.col("ka").bitwiseXOR(F.col("kb"))) <= _most(SKETCH, threshold, SLACK)
+def candidate_pairs(signed: DataFrame, threshold: float, segments: int = SEGMENTS) -> DataFrame:
+    """(a, b) with a < b of the signatures that share a variant and whose sketches are near enough."""
+    sigs = variants(signed, segments)
+    left, right = (sigs.select("sig", F.col("t").alias(x), F.col("k0").alias(f"{x}k")) for x in "ab")
+    near = F.bit_count(F.col("ak").bitwiseXOR(F.col("bk"))) <= most_bits(64, threshold)
     pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    longer = texts.mapInArrow(_sketcher, "t bigint, k1 bigint, k2 bigint").dropDuplicates(["t"])
-    a, b = (longer.select(F.col("t").alias(x), F.col("k1").alias(f"{x}1"), F.col("k2").alias(f"{x}2")) for x in "ab")
-    differ = F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2")))
-    return pairs.join(a, "a").join(b, "b").where(differ <= _most(LONGER, threshold, SLACK + 1)).select("a", "b")
+    words = range(SKETCH // 64)
+    a, b = (signed.select(F.col("t").alias(x), *(F.col(f"k{i}").alias(f"{x}{i}") for i in words)) for x in "ab")
+    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in words), F.lit(0))
+    return pairs.join(a, "a").join(b, "b").where(differ <= most_bits(SKETCH, threshold)).select("a", "b")
 
 
-def _linked_texts(rows: DataFrame, size: int, threshold: float, segments: int, width: int) -> DataFrame:
-    """(a, b, similarity) with a < b of the distinct texts of rows (id, file, text, t) that reach the threshold."""
+def _linked_texts(rows: DataFrame, size: int, threshold: float, segments: int) -> DataFrame:
+    """(a, b, similarity) with a < b of the distinct texts of rows (text, t) that reach the threshold."""
+    from ..operators.prune import possibly_in
     from ..session import materialize
 
     sets = rows.select("t", shingles(F.col("text"), size).alias("sh")).where("sh IS NOT NULL")
-    pairs = materialize(candidate_pairs(sets, threshold, segments, width), "candidates")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    once = rows.groupBy("t").agg(F.first("text").alias("text")).join(needed, "t", "left_semi")
-    held = materialize(once.select("t", shingles(F.col("text"), size).alias("sh")), "shingles")
+    signed = materialize(signatures(sets, segments), "signatures")
+    pairs = materialize(candidate_pairs(signed, threshold, segments), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("t"))
+    texts = possibly_in(rows.select("t", "text"), "t", ends).groupBy("t").agg(F.first("text").alias("text"))
+    held = materialize(texts.select("t", shingles(F.col("text"), size).alias("sh")), "shingles")
     both = F.size(F.array_intersect("sa", "sb"))
     compared = pairs.join(held.select(F.col("t").alias("a"), F.col("sh").alias("sa")), "a").join(held.select(F.col("t").alias("b"), F.col("sh").alias("sb")), "b")
     similar = compared.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("similarity"))
@@ -145,9 +156,10 @@ def _linked_texts(rows: DataFrame, size: int, threshold: float, segments: int, w
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, file_col: str, size: int) -> DataFrame:
-    """(id, file, text, t) of the rows with words enough for a shingle."""
+    """(id, f, text, t) of the rows with words enough for a shingle; f is the hash of the file, null without one."""
+    file = F.col(file_col)
     rows = df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(file_col).alias("file"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")
+        F.col(id_col).cast("long").alias("id"), F.when(file.isNotNull(), F.xxhash64(file)).alias("f"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t")
     )
     return rows.where(F.col("text").rlike(r"(?U)\S" + (r"\s+\S+" * (size - 2) + r"\s+\S" if size > 1 else "")))
 
@@ -160,24 +172,29 @@ def near_duplicate_pairs(
     size: int = 3,
     threshold: float = 0.6,
     segments: int = SEGMENTS,
-    width: int = WIDTH,
 ) -> DataFrame:
     """(id_col_a, id_col_b, similarity), smaller id first: rows of different files whose similarity reaches the threshold.
 
-    Pairs are found between distinct texts, then expanded to the rows that hold them. Where copies are so many that their
-    pairs cannot be listed, near_duplicate_groups says the same in one row a record.
+    Pairs are found between distinct texts, then between the files that hold them, then expanded to rows, so copies within
+    one file are never compared. Where copies are so many that their pairs cannot be listed, near_duplicate_groups says the
+    same in one row a record.
     """
+    from ..operators.prune import possibly_in
     from ..session import materialize
 
     rows = _rows(df, id_col, text_col, file_col, size)
-    copies = rows.groupBy("t").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    keyed = materialize(rows.where("f IS NOT NULL").select("id", "f", "t"), "keys")
+    copies = keyed.groupBy("t").agg(F.min("f").alias("f0"), F.max("f").alias("f1")).where("f0 <> f1")
     same = copies.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("similarity"))
-    linked = materialize(_linked_texts(rows, size, threshold, segments, width).unionByName(same), "linked")
-    ends = linked.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    members = materialize(rows.select("id", "file", "t").join(ends, "t", "left_semi"), "members")
-    x = members.select(F.col("t").alias("a"), F.col("id").alias("i"), F.col("file").alias("fi"))
-    y = members.select(F.col("t").alias("b"), F.col("id").alias("j"), F.col("file").alias("fj"))
-    found = linked.join(x, "a").join(y, "b").where((F.col("fi") != F.col("fj")) & ((F.col("a") != F.col("b")) | (F.col("i") < F.col("j"))))
+    linked = materialize(_linked_texts(rows, size, threshold, segments).unionByName(same), "linked")
+    members = materialize(possibly_in(keyed, "t", linked.select(F.explode(F.array("a", "b")).alias("t"))), "members")
+    places = members.select("t", "f").distinct()
+    x, y = places.select(F.col("t").alias("a"), F.col("f").alias("fa")), places.select(F.col("t").alias("b"), F.col("f").alias("fb"))
+    apart = (F.col("fa") != F.col("fb")) & ((F.col("a") != F.col("b")) | (F.col("fa") < F.col("fb")))
+    files = linked.join(x, "a").join(y, "b").where(apart)
+    i = members.select(F.col("t").alias("a"), F.col("f").alias("fa"), F.col("id").alias("i"))
+    j = members.select(F.col("t").alias("b"), F.col("f").alias("fb"), F.col("id").alias("j"))
+    found = files.join(i, ["a", "fa"]).join(j, ["b", "fb"])
     return found.select(F.least("i", "j").alias(f"{id_col}_a"), F.greatest("i", "j").alias(f"{id_col}_b"), "similarity")
 
 
@@ -210,7 +227,6 @@ def near_duplicate_groups(
     size: int = 3,
     threshold: float = 0.6,
     segments: int = SEGMENTS,
-    width: int = WIDTH,
 ) -> DataFrame:
     """(id_col, text_class, group_id, links): one row for each record with a near duplicate in another file.
 
@@ -219,11 +235,11 @@ def near_duplicate_groups(
     """
     from ..session import materialize
 
-    rows = _rows(df, id_col, text_col, file_col, size).where(F.col("file").isNotNull())
-    texts = rows.groupBy("t").agg(F.min("id").alias("first"), F.min("file").alias("f0"), F.max("file").alias("f1"))
+    rows = _rows(df, id_col, text_col, file_col, size).where("f IS NOT NULL")
+    texts = rows.groupBy("t").agg(F.min("id").alias("first"), F.min("f").alias("f0"), F.max("f").alias("f1"))
     texts = materialize(texts, "texts")
     a, b = (texts.select(F.col("t").alias(x), F.col("first").alias(f"{x}_id"), F.col("f0").alias(f"{x}0"), F.col("f1").alias(f"{x}1")) for x in "ab")
-    linked = _linked_texts(rows, size, threshold, segments, width).join(a, "a").join(b, "b")
+    linked = _linked_texts(rows, size, threshold, segments).join(a, "a").join(b, "b")
     one_file = (F.col("a0") == F.col("a1")) & (F.col("b0") == F.col("b1")) & (F.col("a0") == F.col("b0"))
     edges = materialize(linked.where(~one_file).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "edges")
     labels = components(edges)
