@@ -1,9 +1,12 @@
 """Lines repeated across the documents of one site, and texts without them.
 
 Files with the same lines are collapsed to one cluster first, by a fingerprint added up from line hashes; a line is then
-counted once for each cluster, weighted by the cluster's files, with the clusters and publication dates beside it. So a
-republished article counts as one cluster, however many files carry it. A file's line sets are summed with map-side
-combining, lines are aggregated by (site, line, cluster) before anything is grouped by line.
+counted over distinct clusters and over the dates on which clusters were first published. That decides what is removed: an
+article published again in many files is one cluster, so its lines stay. The number of files is counted beside it, by adding
+up the files of the clusters. A cluster is exact: files whose sets of line forms (digits folded) are equal.
+
+A file's line sets are summed with map-side combining, lines are aggregated by (site, line, cluster) before anything is
+grouped by line, and lines that cannot be boilerplate are left out by a bit table before texts are cleaned.
 
 Defined results: a null text or a path without site has no lines. Empty lines never count. A line counts once for a file.
 Repeated rows change nothing. The cleaned text of a chunk without boilerplate is the stored text; a null text stays null.
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import STABLE, outside, site_of
 
 MIN_FILES = 5
+#: What makes a line boilerplate: so many clusters of a site, first published on so many days (where a day is known).
+MIN_CLUSTERS, MIN_DATES = 5, 2
 
 
 _COMPOSABLE = outside(*STABLE)
@@ -51,14 +56,9 @@ def site_lines(chunks: DataFrame, id_col: str = "chunk_id", path_col: str = "fil
     return base.select("site", "file_path", F.explode(F.transform(F.split("_text", "\n"), line_form)).alias("line")).where("line <> ''")
 
 
-def repeated_lines(
-    chunks: DataFrame, dates: DataFrame | None = None, min_files: int = MIN_FILES, path_col: str = "file_path", text_col: str = "text"
-) -> DataFrame:
-    """(site, line, n_files, n_clusters[, n_dates]) of the lines in at least min_files files of a site.
-
-    dates, if given, is (file_path, published). n_files is what decides, as republished files are files too; n_clusters and
-    n_dates tell boilerplate from an article that was published again.
-    """
+def line_counts(chunks: DataFrame, dates: DataFrame | None = None, path_col: str = "file_path", text_col: str = "text") -> DataFrame:
+    """(site, line, n_files, n_clusters, n_dates) of every line form. dates is (file_path, published); a cluster's date is its
+    first; n_dates is 0 where no date is known."""
     lines = site_lines(chunks, path_col=path_col, text_col=text_col)
     once = lines.groupBy("site", "file_path", F.xxhash64("line").alias("h"), "line").agg(F.lit(1).alias("one")).drop("one")
     files = once.groupBy("site", "file_path").agg(
@@ -74,43 +74,60 @@ def repeated_lines(
     )
     kept = once.join(clusters.select("site", "file_path", "files", "day"), ["site", "file_path"])
     daily = kept.groupBy("site", "line", "day").agg(F.sum("files").alias("f"), F.count(F.lit(1)).alias("c"))
-    found = daily.groupBy("site", "line").agg(
-        F.sum("f").alias("n_files"), F.sum("c").alias("n_clusters"), F.count("day").alias("n_dates")
-    )
-    found = found.where(F.col("n_files") >= min_files)
-    return found if dates is not None else found.drop("n_dates")
+    return daily.groupBy("site", "line").agg(F.sum("f").alias("n_files"), F.sum("c").alias("n_clusters"), F.count("day").alias("n_dates"))
+
+
+def repeated_lines(
+    chunks: DataFrame, dates: DataFrame | None = None, min_files: int = MIN_FILES, path_col: str = "file_path", text_col: str = "text"
+) -> DataFrame:
+    """The counts of the lines in at least min_files files of a site, republished files included."""
+    return line_counts(chunks, dates, path_col, text_col).where(F.col("n_files") >= min_files)
+
+
+def boilerplate_lines(
+    chunks: DataFrame,
+    dates: DataFrame | None = None,
+    min_clusters: int = MIN_CLUSTERS,
+    min_dates: int = MIN_DATES,
+    path_col: str = "file_path",
+    text_col: str = "text",
+) -> DataFrame:
+    """The counts of the lines in at least min_clusters clusters of a site, first published on min_dates days at least."""
+    spread = (F.col("n_dates") == 0) | (F.col("n_dates") >= min_dates)
+    return line_counts(chunks, dates, path_col, text_col).where((F.col("n_clusters") >= min_clusters) & spread)
 
 
 def without_repeated_lines(
     chunks: DataFrame,
     dates: DataFrame | None = None,
-    min_files: int = MIN_FILES,
+    min_clusters: int = MIN_CLUSTERS,
+    min_dates: int = MIN_DATES,
     id_col: str = "chunk_id",
     path_col: str = "file_path",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id_col, text, is_boilerplate, n_removed): every chunk without its site's repeated lines.
+    """(id_col, text, is_boilerplate, n_removed): every chunk without its site's boilerplate lines.
 
-    is_boilerplate is true where all of a chunk's non-empty lines (one at least) were removed. The remaining lines keep
+    is_boilerplate is true where lines were removed and no other line than blank ones is left. The remaining lines keep
     their order; a chunk from which nothing is removed keeps its text as stored.
     """
-    base = chunks.select(F.col(id_col).alias("_id"), site_of(F.col(path_col)).alias("site"), F.col(text_col).alias("_text"))
-    found = repeated_lines(chunks, dates, min_files, path_col, text_col).select("site", "line", F.lit(True).alias("_gone"))
-    lines = base.select("_id", "site", F.posexplode(F.split("_text", "\n")).alias("_at", "_raw"))
-    marked = lines.withColumn("line", line_form(nfc(F.col("_raw")))).join(found, ["site", "line"], "left")
-    gone = F.coalesce(F.col("_gone"), F.lit(False))
-    kept = marked.groupBy("_id").agg(
-        F.sort_array(F.collect_list(F.when(~gone, F.struct("_at", "_raw")))).alias("_kept"),  # one chunk's own lines
-        F.sum(gone.cast("int")).alias("_n"),
-        F.sum((F.col("line") != "").cast("int")).alias("_full"),
-    )
-    changed = kept.where("_n > 0").select(
-        "_id", F.array_join(F.transform("_kept", lambda x: x["_raw"]), "\n").alias("_new"), "_n", (F.col("_n") == F.col("_full")).alias("_all")
-    )
-    out = base.join(changed, "_id", "left")
+    from ..operators.prune import possibly_in
+    from ..session import materialize
+
+    text = F.col("_text")
+    base = chunks.select(F.col(id_col).alias("_id"), site_of(F.col(path_col)).alias("site"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_h"))
+    found = boilerplate_lines(chunks, dates, min_clusters, min_dates, path_col, text_col)
+    found = materialize(found.select("site", "line", F.xxhash64("site", "line").alias("_key")), "boilerplate")
+    forms = base.where(F.col("site").isNotNull()).select("_id", "_h", "site", F.posexplode(F.transform(F.split(nfc(text), "\n"), line_form)).alias("_at", "line"))
+    maybe = possibly_in(forms.withColumn("_key", F.xxhash64("site", "line")), "_key", found)
+    hit = maybe.join(found.select("site", "line"), ["site", "line"])
+    gone = hit.groupBy("_id", "_h").agg(F.collect_set("_at").alias("_gone"))  # one chunk's own lines
+    out = base.join(gone.withColumnsRenamed({"_id": "_i", "_h": "_g"}), F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_h") == F.col("_g")), "left")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    out = out.select("_id", "_gone", F.when(F.col("_gone").isNull(), text).otherwise(left).alias("text"))
     return out.select(
         F.col("_id").alias(id_col),
-        F.coalesce("_new", "_text").alias("text"),
-        F.coalesce("_all", F.lit(False)).alias("is_boilerplate"),
-        F.coalesce("_n", F.lit(0)).cast("int").alias("n_removed"),
+        "text",
+        (F.col("_gone").isNotNull() & ~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))).alias("is_boilerplate"),
+        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
     )

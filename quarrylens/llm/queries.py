@@ -138,6 +138,8 @@ def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
 
+_FORM = f"trim(regexp_replace(regexp_replace(lower(part), '[0-9]+', '#', 'g'), '{_WS}+', ' ', 'g'))"
+
 _TERMS = f"""tok AS (SELECT chunk_id, unnest(list_filter(string_split_regex(lower(norm_text), '{_WS}+'), lambda x: x <> '')) AS term
   FROM chunks WHERE norm_text IS NOT NULL),
 tf AS (SELECT chunk_id, term, count(*) AS tf FROM tok GROUP BY ALL),
@@ -153,6 +155,16 @@ def oracle_sql() -> dict[str, str]:
     trim(regexp_replace(regexp_replace(lower(unnest(string_split(nfc_normalize(text), chr(10)))), '[0-9]+', '#', 'g'), '{_WS}+', ' ', 'g')) AS line
   FROM chunks WHERE text IS NOT NULL)
 WHERE line <> '' AND site <> '' GROUP BY ALL HAVING count(DISTINCT file_path) >= 5""".replace("GROUP BY ALL", "GROUP BY site, line"),
+        "p2_clean": f"""WITH pos AS (SELECT chunk_id, file_path, lower(regexp_extract(file_path, '(?:^|[/\\\\])kho[/\\\\]+([^/\\\\]+)', 1)) AS site,
+  unnest(string_split(text, chr(10))) AS raw, nfc_normalize(unnest(string_split(text, chr(10)))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM chunks WHERE text IS NOT NULL),
+forms AS (SELECT *, {_FORM} AS line FROM pos),
+fl AS (SELECT site, file_path, list_sort(list(DISTINCT line)) AS ls FROM forms WHERE site <> '' AND line <> '' GROUP BY site, file_path),
+days AS (SELECT path AS file_path, min(CAST(modified_at AS DATE)) AS day FROM files GROUP BY path),
+cl AS (SELECT site, ls, min(day) AS day FROM fl LEFT JOIN days USING (file_path) GROUP BY site, ls),
+bad AS (SELECT site, line FROM (SELECT site, unnest(ls) AS line, day FROM cl) GROUP BY site, line HAVING count(*) >= 5 AND (count(day) = 0 OR count(DISTINCT day) >= 2)),
+k AS (SELECT chunk_id, coalesce(string_agg(raw, chr(10) ORDER BY place) FILTER (WHERE bad.line IS NULL), '') AS rest, count(bad.line) AS n FROM forms LEFT JOIN bad ON forms.site = bad.site AND forms.line = bad.line GROUP BY chunk_id)
+SELECT chunk_id, CASE WHEN n > 0 THEN rest ELSE text END AS text, coalesce(n > 0 AND regexp_replace(rest, '{_WS}+', '', 'g') = '', false) AS is_boilerplate, CAST(coalesce(n, 0) AS INT) AS n_removed
+FROM chunks LEFT JOIN k USING (chunk_id)""",
         "p3_found": f"""SELECT chunk_id, CASE WHEN list_max(list_transform(string_split_regex(t, '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: length(x))) > 512 THEN 'forced' ELSE 'natural' END AS cut_kind
 FROM (SELECT chunk_id, regexp_replace(regexp_replace(text, '^{_WS}+', ''), '{_WS}+$', '') AS t FROM chunks) WHERE length(t) > 512""",
         "p6_found": f"WITH {_TERMS} SELECT chunk_id, term FROM tf JOIN df USING (term), st WHERE df >= 2 AND (1 + ln(tf)) * ln(n / df) >= 1.75 * ln(n)",

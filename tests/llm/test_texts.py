@@ -4,6 +4,8 @@ import random
 import re
 import unicodedata
 
+from pyspark.sql import functions as F
+
 from quarrylens.llm import boilerplate, common, encodings, lookalikes, repetition, splitting
 
 SCHEMA = "chunk_id long, file_path string, text string, extra string, site string"
@@ -59,6 +61,24 @@ def test_spelling():
     assert lookalikes.consistent("Ðội 0 O l 1 Ωm") == "Đội 0 O l 1 Ωm"
     assert lookalikes.consistent("a\r\nb\u00a0c\u2028d") == "a\nb c\nd"
     assert lookalikes.consistent("") == ""
+    assert lookalikes.consistent("𝐇𝐞𝐥𝐥𝐨 ﬁle Ⅳ 𝟓 ᏢᎪᏢᎬᎡ ſ m² ①") == "Hello file IV 5 PAPER ſ m² ①"
+
+
+def test_real_words_of_other_scripts_stay():
+    for text in ("мой хор", "оса сосна", "Рост сосны: оса и кот", "ο Θεός", "ένα νησί", "Поставка\nхор оса"):
+        assert lookalikes.consistent(text) == text
+    assert lookalikes.consistent("мой xop") == "мой хор"  # Latin letters among Russian words
+    assert lookalikes.consistent("công ty хор móng") == "công ty xop móng"  # and the reverse
+    assert lookalikes.consistent("Поставка\nxop") == "Поставка\nхор"  # the record decides where the line cannot
+    rng = random.Random(12)
+    swap = {}
+    for twins in lookalikes.TWINS.values():
+        for c, latin in twins.items():
+            swap.setdefault(latin, []).append(c)
+    for text in ("Biên bản nghiệm thu móng", "мой хор и сосна", "Top cao", "ο Θεός και", "PAPER co"):
+        for _ in range(200):  # every spelling of a text is settled alike
+            other = "".join(rng.choice([c, *swap.get(lookalikes._TO_LATIN.get(c, c), [])]) for c in text)
+            assert lookalikes.consistent(other) == lookalikes.consistent(text), other
 
 
 def test_stable_blocks_need_no_normalising():
@@ -77,6 +97,12 @@ def test_pairs_of_look_alikes(spark):
     assert out[6]["text"] is None and lookalikes.look_alike_pairs(frame(spark, rows).where("false")).count() == 0
 
 
+def test_many_copies_of_one_spelling(spark):
+    text = F.when(F.col("id") < 50_000, "một hai").when(F.col("id") < 50_003, "một\u00a0hai").otherwise("khác")
+    df = spark.range(50_010).select(F.col("id").alias("chunk_id"), text.alias("text"))
+    assert lookalikes.look_alike_pairs(df).count() == 150_000
+
+
 def brute_lines(rows):
     seen = {}
     for _, path, text in rows:
@@ -95,21 +121,34 @@ def test_repeated_lines(spark):
     rows = []
     for i in range(200):
         path = rng.choice(["/kho/CO-dien/", "D:\\kho\\co-dien\\", "/kho/b/", "/tmp/"]) + f"f{i % 60}"
-        text = "\n".join(rng.choice(["Trang 1/2", "Trang  7/9", "Lu\u031bu hành", "Lưu hành", f"câu {rng.random()}", "", " "]) for _ in range(4))
+        own = "riêng " + "".join(rng.choice("abcdefgh") for _ in range(8))
+        text = "\n".join([own, *(rng.choice(["Trang 1/2", "Trang  7/9", "Lu\u031bu hành", "Lưu hành", "", " "]) for _ in range(4))])
         rows.append((i, path, text))
     article = "\n".join(f"bài {k}" for k in "abc")  # one article in six files is one cluster
-    rows += [(300 + i, f"/kho/b/copy{i}", article) for i in range(6)] + [(400, None, "x"), (401, "/kho/b/n", None)]
-    df = frame(spark, rows)
+    rows += [(300 + i, f"/kho/b/copy{i}", article) for i in range(6)] + [(400, None, "x"), (401, "/kho/b/n", None), (402, "/kho/b/f1", "Trang 3\n\u00a0"), (None, "/kho/b/f1", "Trang 4/1\ny")]
+    df = frame(spark, rows + rows[:1])
     found = boilerplate.repeated_lines(df).collect()
     assert {(r["site"], r["line"]) for r in found} == brute_lines(rows)
-    once = {r["line"]: r["n_clusters"] for r in found if r["site"] == "b"}
-    assert once["bài a"] == 1 and once["trang #/#"] > 1
-    clean = {r["chunk_id"]: r for r in boilerplate.without_repeated_lines(df).collect()}
-    assert len(clean) == len(rows) and clean[300]["is_boilerplate"] and clean[300]["text"] == ""
-    assert clean[401]["text"] is None and clean[400]["text"] == "x"
-    gone = brute_lines(rows)
-    assert not any("Trang" in (r["text"] or "") for i, r in clean.items() if i < 200 and "/tmp/" not in rows[i][1]) and gone
-    assert boilerplate.repeated_lines(df.where("false")).count() == 0
+    counts = {r["line"]: r for r in found if r["site"] == "b"}
+    assert (counts["bài a"]["n_files"], counts["bài a"]["n_clusters"]) == (6, 1) and counts["trang #/#"]["n_clusters"] > 5
+    cleaned = boilerplate.without_repeated_lines(df).collect()
+    clean = {r["chunk_id"]: r for r in cleaned}
+    assert len(cleaned) == len(rows) + 1 and clean[300]["text"] == article and not clean[300]["is_boilerplate"]  # republished, not boilerplate
+    assert clean[401]["text"] is None and clean[400]["text"] == "x" and clean[None]["text"] == "y"
+    for i, path, text in rows[:200]:
+        keep = [x for x in text.split("\n") if "/tmp/" in path or not re.match("Trang|Lu|Lư", x)]
+        assert clean[i]["text"] == "\n".join(keep) and clean[i]["n_removed"] == text.count("\n") + 1 - len(keep)
+    assert boilerplate.repeated_lines(df.where("false")).count() == boilerplate.without_repeated_lines(df.where("false")).count() == 0
+
+
+def test_lines_of_one_day_stay(spark):
+    texts = [(i, f"/kho/{'ab'[i % 2]}/f{i}", f"thân bài {chr(97 + i)}\nChung") for i in range(12)] + [(20, "/kho/a/g", "Chung"), (21, "/kho/b/g", "Chung\n")]
+    dates = spark.createDataFrame([(p, f"2024-01-0{1 + (i // 2) % 3 if '/a/' in p else 1} 10:00:00") for i, p, _ in texts] + [("/kho/a/f0", None)], "file_path string, published string")
+    clean = {r["chunk_id"]: r for r in boilerplate.without_repeated_lines(frame(spark, texts), dates).collect()}
+    assert clean[0]["text"] == "thân bài a" and clean[1]["text"] == "thân bài b\nChung"  # of one day only: an article of many parts
+    assert clean[20]["is_boilerplate"] and clean[20]["text"] == "" and not clean[21]["is_boilerplate"]
+    unknown = {r["chunk_id"]: r for r in boilerplate.without_repeated_lines(frame(spark, texts), dates.where("false")).collect()}
+    assert unknown[1]["text"] == "thân bài b" and unknown[21]["is_boilerplate"]
 
 
 def test_splitting(spark):
