@@ -3,7 +3,8 @@
 Pieces are cut by the tokenizer's pattern and merged with a segment tree over their byte positions: each leaf holds the
 key (rank of the pair that starts here, position), each inner node the smallest key below it, so the root is the leftmost
 pair of lowest rank. A merge rewrites three leaves (the pair, its right half, its live left neighbour) and their paths to
-the root. Trees of many pieces are one array and advance together. No shuffle; a worker remembers pieces between batches.
+the root. Trees of many pieces are one array and advance together; few pieces of a size, such as a very long one, run one by
+one, where an update stops at the first node it does not change. No shuffle; a worker remembers pieces between batches.
 
 Null and empty texts give an empty list. Nothing is cut: very long texts and pieces are encoded whole. Strings that look
 like special tokens are ordinary text. Only the id and text columns are read, so other columns may have any name.
@@ -12,6 +13,7 @@ like special tokens are ordinary text. Only the id and text columns are read, so
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,10 @@ from .common import worker_state
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A worker forgets its words and pieces beyond so many, to bound its memory.
-REMEMBERED = 300_000
+#: A worker forgets its words and pieces beyond so many, or so many ids of them, to bound its memory.
+REMEMBERED, REMEMBERED_IDS = 300_000, 16_000_000
+#: Up to so many pieces of a size are merged one by one.
+FEW = 24
 _NONE = np.int64(2**62)
 
 
@@ -40,6 +44,7 @@ class BytePairEncoder:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a << 32 | b] = rank
+        self.pairs = pairs
         # open addressing, filled so that every key is found within self.probes steps
         keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
         values = np.fromiter(pairs.values(), dtype=np.int64, count=len(pairs))
@@ -88,10 +93,58 @@ class BytePairEncoder:
             step = max(1, (1 << 21) >> bits)
             for s in range(0, len(members), step):
                 part = members[s : s + step]
-                for i, ids in zip(part, self._group([pieces[i] for i in part], 1 << bits)):
+                made = map(self._one, (pieces[i] for i in part)) if len(part) <= FEW else self._group([pieces[i] for i in part], 1 << bits)
+                for i, ids in zip(part, made):
                     out[i] = ids
         return out
 
+    def _one(self, piece: bytes) -> np.ndarray:
+        n = len(piece)
+        width = 1 << max(1, (n - 1).bit_length())
+        none, symbol = int(_NONE), self.byte_id[np.frombuffer(piece, dtype=np.uint8)]
+        leaves = np.full(2 * width, _NONE, dtype=np.int64)
+        if n > 1:
+            ranks = self.rank(symbol[:-1], symbol[1:])
+            leaves[width : width + n - 1] = np.where(ranks >= 0, ranks * width + np.arange(n - 1), _NONE)
+        level = width
+        while level > 1:
+            leaves[level // 2 : level] = np.minimum(leaves[level : 2 * level : 2], leaves[level + 1 : 2 * level : 2])
+            level //= 2
+        tree, symbol = array("q", leaves.tobytes()), array("q", symbol.tobytes())
+        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        rank = self.pairs.get
+
+        def put(leaf: int, key: int) -> None:
+            node = width + leaf
+            tree[node] = key
+            while node > 1:
+                other = tree[node ^ 1]
+                if other < key:
+                    key = other
+                node >>= 1
+                if tree[node] == key:
+                    return
+                tree[node] = key
+
+        while (root := tree[1]) < none:
+            at, token = root % width, root // width
+            right = after[at]
+            beyond, left = after[right], before[at]
+            symbol[at], symbol[right], after[at] = token, -1, beyond
+            put(right, none)
+            key = none
+            if beyond < n:
+                before[beyond] = at
+                got = rank(token << 32 | symbol[beyond])
+                if got is not None:
+                    key = got * width + at
+            put(at, key)
+            if left >= 0:
+                got = rank(symbol[left] << 32 | token)
+                put(left, none if got is None else got * width + left)
+        made = np.frombuffer(symbol, dtype=np.int64)
+        return made[made >= 0].astype(np.int32)
+
     def _group(self, pieces: list[bytes], width: int) -> Iterator[np.ndarray]:
         n = len(pieces)
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
@@ -176,7 +229,7 @@ class CorpusEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
-        if len(self.words) > REMEMBERED or len(self.pieces) > REMEMBERED:
+        if len(self.words) > REMEMBERED or len(self.pieces) > REMEMBERED or len(self.flat) > REMEMBERED_IDS:
             self.forget()
         words, known, missing = self.words, len(self.start), []
         lone, rows, counts = self.gap.search, [], np.zeros(len(texts), dtype=np.int64)

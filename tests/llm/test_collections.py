@@ -176,6 +176,24 @@ def test_ids_equal_a_public_library(spark):
     assert tokenizing.encode_corpus(df.where("false"), "doc_id", "text").count() == 0
 
 
+@needs_vocabulary
+def test_a_very_long_piece():
+    """A megabyte without a break takes seconds, and gives the ids that merging many at once gives."""
+    import time
+
+    encoder = tokenizing.BytePairEncoder(VOCABULARY.read_bytes())
+    rng = random.Random(3)
+    piece = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    started = time.time()
+    ids = encoder.encode([piece])[0]
+    assert time.time() - started < 60
+    size = {rank: len(base64.b64decode(a)) for a, rank in ((x.split()[0], int(x.split()[1])) for x in VOCABULARY.read_bytes().splitlines())}
+    assert sum(size[i] for i in ids.tolist()) == len(piece)
+    short = [piece[k * 700 : k * 700 + n] for k, n in enumerate((1, 2, 3, 5, 64, 65, 700))] * 5
+    one = [encoder._one(p).tolist() for p in short]
+    assert one == [x.tolist() for x in (next(iter(encoder._group([p], 1 << max(1, (len(p) - 1).bit_length())))) for p in short)]
+
+
 def test_rates():
     targets = [("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.1, 5), ("gone", 0.1, 3)]
     rates = mixing.plan_rates(targets, {"a": 1000, "b": 100, "c": 100})
