@@ -4,9 +4,9 @@ Each distinct text becomes a vector of 48 minimum hashes of 16 bits over its wor
 in each position with probability 1 - s. The vector is cut into segments, so few that similar vectors have one that differs
 in at most one position: with m segments that is certain for fewer than 2m differing positions. A segment of four positions
 is one long. Of every segment the variants with one position replaced by a wildcard are indexed: the wildcard's place holds
-the number of segment and place. Equal variants are joined. A variant carries 64 one-bit minimum hashes of its text, which
-the join compares; what passes is compared by 192 of them and verified by the similarity of the two shingle sets. Nothing
-else is compared, and no bucket or partner is capped.
+the number of segment and place. Equal variants are joined. A variant carries 128 one-bit minimum hashes of its text, which
+the join compares, so that pairs far below the threshold are never shuffled; what passes is compared by 256 of them and
+verified by the similarity of the two shingle sets. Nothing else is compared, and no bucket or partner is capped.
 
 With segments of four positions a pair of similarity s is missed with probability (1 - 4 s^3 (1 - s) - s^4)^12: 0.0004 at
 s = 0.6, 0.00004 at 0.65 and 3e-9 at 0.8. A sketch bit differs with probability (1 - s) / 2; pairs at the threshold that
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 #: Segments of the vector; a segment is WIDTH positions of 16 bits, which fill a long.
 SEGMENTS, WIDTH = 12, 4
-#: Bits of the sketch that candidates are compared by (the first 64 in the join), and the deviations allowed.
-SKETCH, SLACK = 192, 4.0
+#: Longs of the sketch that candidates are compared by, those that the join compares, and the deviations allowed.
+SKETCH, CARRIED, SLACK = 4, 2, 4.0
 _WS = r"(?U)\s+"
 
 
@@ -68,7 +68,7 @@ def _minima(lists: pa.Array, count: int, seed: int) -> np.ndarray:
 
 
 def _columns(segments: int) -> list[str]:
-    return [f"g{i}" for i in range(segments)] + [f"k{i}" for i in range(SKETCH // 64)]
+    return [f"g{i}" for i in range(segments)] + [f"k{i}" for i in range(SKETCH)]
 
 
 def _signer(segments: int):
@@ -91,11 +91,11 @@ def _signer(segments: int):
                 if not new:
                     continue
                 part = part.take(pa.array(new))
-                minima = _minima(part.column(1), segments * WIDTH + SKETCH, 20)
+                minima = _minima(part.column(1), segments * WIDTH + 64 * SKETCH, 20)
                 short = _mix(minima[: segments * WIDTH] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
                 packed = (short.reshape(segments, WIDTH, -1) << shifts).sum(axis=1, dtype=np.uint64)
                 bits = (minima[segments * WIDTH :] >> np.uint64(7)) & np.uint64(1)
-                sketch = (bits.reshape(SKETCH // 64, 64, -1) * places).sum(axis=1, dtype=np.uint64)
+                sketch = (bits.reshape(SKETCH, 64, -1) * places).sum(axis=1, dtype=np.uint64)
                 longs = [pa.array(row.view(np.int64)) for row in (*packed, *sketch)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *longs], names=["t", *_columns(segments)])
 
@@ -110,14 +110,14 @@ def signatures(texts: DataFrame, segments: int = SEGMENTS) -> DataFrame:
 
 
 def variants(signed: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """(sig, t, k0): every segment with one position replaced by a wildcard."""
+    """(sig, t, k0, k1): every segment with one position replaced by a wildcard."""
 
     def variant(i: int, p: int) -> Column:
         kept = np.uint64(0xFFFFFFFFFFFFFFFF) ^ (np.uint64(0xFFFF) << np.uint64(16 * p))
         tag = np.uint64(i * WIDTH + p + 1) << np.uint64(16 * p)
         return F.col(f"g{i}").bitwiseAND(F.lit(int(kept.astype(np.int64)))).bitwiseOR(F.lit(int(tag.astype(np.int64))))
 
-    return signed.select(F.explode(F.array(*(variant(i, p) for i in range(segments) for p in range(WIDTH)))).alias("sig"), "t", "k0")
+    return signed.select(F.explode(F.array(*(variant(i, p) for i in range(segments) for p in range(WIDTH)))).alias("sig"), "t", *(f"k{i}" for i in range(CARRIED)))
 
 
 def most_bits(bits: int, threshold: float) -> int:
@@ -129,13 +129,17 @@ def most_bits(bits: int, threshold: float) -> int:
 def candidate_pairs(signed: DataFrame, threshold: float, segments: int = SEGMENTS) -> DataFrame:
     """(a, b) with a < b of the signatures that share a variant and whose sketches are near enough."""
     sigs = variants(signed, segments)
-    left, right = (sigs.select("sig", F.col("t").alias(x), F.col("k0").alias(f"{x}k")) for x in "ab")
-    near = F.bit_count(F.col("ak").bitwiseXOR(F.col("bk"))) <= most_bits(64, threshold)
-    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    words = range(SKETCH // 64)
-    a, b = (signed.select(F.col("t").alias(x), *(F.col(f"k{i}").alias(f"{x}{i}") for i in words)) for x in "ab")
-    differ = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in words), F.lit(0))
-    return pairs.join(a, "a").join(b, "b").where(differ <= most_bits(SKETCH, threshold)).select("a", "b")
+
+    def ends(df: DataFrame, longs: int, *also: str) -> list[DataFrame]:
+        return [df.select(*also, F.col("t").alias(x), *(F.col(f"k{i}").alias(f"{x}{i}") for i in range(longs))) for x in "ab"]
+
+    def near(longs: int) -> Column:
+        return sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(longs)), F.lit(0)) <= most_bits(64 * longs, threshold)
+
+    left, right = ends(sigs, CARRIED, "sig")
+    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & near(CARRIED)).select("a", "b").distinct()
+    a, b = ends(signed, SKETCH)
+    return pairs.join(a, "a").join(b, "b").where(near(SKETCH)).select("a", "b")
 
 
 def _linked_texts(rows: DataFrame, size: int, threshold: float, segments: int) -> DataFrame:
