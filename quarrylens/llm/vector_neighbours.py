@@ -2,21 +2,28 @@
 
 Both halves of a unit vector are quantised separately, so a cell is a pair of centroids. A query walks the pairs in order of
 their summed distance with a heap and visits the nearest `visit` cells; the entries of those cells are ranked by exact
-cosine similarity. The codebooks are fitted on a bounded sample (about SAMPLE vectors, chosen by hash); every vector is
-indexed. Queries meet cells by an equality join on the first centroid and a block of second centroids: a vector is sent
-once as an entry and once for each block its query visits, and blocks that hold more entries than BLOCK are salted.
+cosine similarity. The number of centroids follows the data (PER_CELL entries a cell on average). The codebooks are fitted on
+a sample chosen by hash, SAMPLE vectors or SAMPLE_CENTROID for each centroid, SAMPLE_MOST at most (64 MB of 64 floats; that
+holds for cells of PER_CELL up to 69 billion vectors); every vector is indexed.
+
+Centroids of a half that are near each other form groups; a pair of groups is a block of cells. Queries meet cells by an
+equality join on the block: a vector is sent once as an entry and once for each block its query visits. What a block gets is
+estimated from the sample; a block of more than BLOCK entries or QUERIES queries is split by both, so that every group a task
+holds is bounded. The estimate decides how work is divided, never the result.
 
 Of more than k + 1 equal vectors only the k + 1 with the smallest ids can be among the k nearest of anything (ties go to
 the smaller id), so the others are not indexed; as queries they get the first k of their group, which is exact.
 
 Defined results: vectors that are null, empty, all zero, of another length than most, or hold a null, NaN or infinity, and
-rows without an id, take part in nothing. Repeated rows are neighbours of similarity 1. An empty table gives no rows.
+rows without an id, take part in nothing. Repeated rows are neighbours of similarity 1. Similarities that agree in 12 digits
+tie. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE = 20_000
-BLOCK = 16_384
-#: Mean entries of a cell, and most centroids of a half.
-PER_CELL, MOST_CENTROIDS = 64, 512
+SAMPLE, SAMPLE_CENTROID, SAMPLE_MOST = 20_000, 16, 262_144
+#: Mean entries of a cell and of a block; entries and queries of a group beyond which a block is split.
+PER_CELL, PER_BLOCK, BLOCK, QUERIES = 64, 2_048, 8_192, 65_536
+#: Bytes of a shuffle partition, and of crowds beyond which they are joined instead of broadcast.
+PARTITION, FEW_CROWDS = 4 << 20, 100_000
 
 
 def usable_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -44,7 +52,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.RandomState(7)
     centres = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
     for _ in range(rounds):
-        near = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
+        near = _nearest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         n = np.bincount(near, minlength=k)
@@ -64,11 +72,19 @@ def _floats(column: pa.Array, dim: int) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].reshape(-1, dim)
 
 
+def _smallest(d: np.ndarray, top: int) -> np.ndarray:
+    """Columns of the top smallest of each row, in order."""
+    if top < d.shape[1]:
+        some = np.argpartition(d, top - 1, axis=1)[:, :top]
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(d, some, 1), axis=1, kind="stable"), 1)
+    return np.argsort(d, axis=1, kind="stable")
+
+
 def nearest_cells(d1: np.ndarray, d2: np.ndarray, visit: int) -> Iterator[list[tuple[int, int]]]:
     """For each row the visit centroid pairs of smallest summed distance, in order: the multi-sequence walk with a heap."""
     k = d1.shape[1]
-    top = min(k, visit)
-    first, second = (np.argsort(d, axis=1)[:, :top] for d in (d1, d2))
+    top = min(k, visit)  # a pair that needs a later centroid has at least visit nearer ones
+    first, second = (_smallest(d, top) for d in (d1, d2))
     s1, s2 = (np.take_along_axis(d, o, 1).tolist() for d, o in ((d1, first), (d2, second)))
     visit = min(visit, top * top)
     for a, b, oa, ob in zip(s1, s2, first.tolist(), second.tolist()):
@@ -83,82 +99,117 @@ def nearest_cells(d1: np.ndarray, d2: np.ndarray, visit: int) -> Iterator[list[t
         yield out
 
 
-_ROUTED = "g int, b int, s int, q boolean, id bigint, js array<int>, v binary"
+class Books:
+    """The codebooks of both halves, the groups of their centroids, and how blocks are split."""
+
+    def __init__(self, sample: np.ndarray, n: int, dim: int):
+        self.half = max(1, dim // 2)
+        self.cells = int(max(2, min(round((n / PER_CELL) ** 0.5), len(sample) // 8)))
+        parts = sample[:, : self.half], sample[:, self.half :]
+        self.books = [_kmeans(x, self.cells) if x.shape[1] else np.zeros((1, 0)) for x in parts]
+        groups = max(1, round(self.cells / (PER_BLOCK / PER_CELL) ** 0.5))
+        self.group = [_nearest(c, _kmeans(c, groups)) for c in self.books]
+        self.wide = int(self.group[1].max()) + 1
+        self.split: dict[int, tuple[int, int]] = {}
+
+    def distances(self, unit: np.ndarray) -> list[np.ndarray]:
+        return [_distances(x, c) for x, c in zip((unit[:, : self.half], unit[:, self.half :]), self.books)]
+
+    def block(self, i, j):
+        return self.group[0][i] * self.wide + self.group[1][j]
+
+    def divide(self, sample: np.ndarray, asks: np.ndarray, n: int, visit: int, looks: int = 4096) -> float:
+        """Splits the blocks that the sample shows to be large; the mean number of blocks a query visits."""
+        homes = (_nearest(x, c) for x, c in zip((sample[:, : self.half], sample[:, self.half :]), self.books))
+        own = Counter(self.block(*homes).tolist())
+        look = np.nonzero(asks)[0][:looks]
+        visits: Counter = Counter()
+        for cells in nearest_cells(*self.distances(sample[look]), visit):
+            visits.update({int(self.block(i, j)) for i, j in cells})
+        up, more = n / len(sample), n * asks.mean() / max(1, len(look))
+        for b in own.keys() | visits.keys():
+            split = math.ceil(own[b] * up / BLOCK) or 1, math.ceil(visits[b] * more / QUERIES) or 1
+            if split != (1, 1):
+                self.split[b] = split
+        return sum(visits.values()) / max(1, len(look))
+
+
+def _distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances less the squared norm of x, which doesn't change the order."""
+    return (c**2).sum(1) - 2 * x @ c.T
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    step = max(64, 8_000_000 // len(c))
+    return np.concatenate([_distances(x[s : s + step], c).argmin(1) for s in range(0, len(x), step)])
 
 
-def _router(books, visit: int, salts, per_block: int):
-    """Rows (id, v, q) as entries of their cell, and those with q also as queries of the blocks they visit."""
+_ROUTED = "b int, s int, id bigint, cell bigint, visits array<bigint>, v binary"
+
+
+def _router(shared, visit: int):
+    """Rows (id, v, q) as entries of their cell, and those with q also as queries of the blocks they visit; one row where
+    both meet in an undivided block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c1, c2 = books.value
-        half, dim = c1.shape[1], c1.shape[1] + c2.shape[1]
-        split = salts.value
+        books = shared.value
+        dim = books.half + books.books[1].shape[1]
+        step = max(64, min(4096, 4_000_000 // books.cells))
         for batch in batches:
-            for s in range(0, batch.num_rows, 4096):
-                part = batch.slice(s, 4096)
+            for s in range(0, batch.num_rows, step):
+                part = batch.slice(s, step)
                 raw = _floats(part.column(1), dim)
-                u = _unit(raw)
-                d1, d2 = ((c**2).sum(1) - 2 * u[:, cut] @ c.T for c, cut in ((c1, slice(0, half)), (c2, slice(half, dim))))
+                d1, d2 = books.distances(_unit(raw))
                 ids = part.column(0).to_numpy()
                 asks = part.column(2).to_numpy(zero_copy_only=False)
                 bytes_ = np.ascontiguousarray(raw, dtype=np.float32)
                 home1, home2 = d1.argmin(1), d2.argmin(1)
+                home = (home1 * books.cells + home2).tolist()
+                blocks = books.block(home1, home2).tolist()
+                salt = (ids * 2654435761 % 4294967296).tolist()
                 rows = []
-                for r, (i, j) in enumerate(zip(home1.tolist(), home2.tolist())):
-                    n = split.get((i, j // per_block), 1)
-                    rows.append((i, j // per_block, int(ids[r]) * 2654435761 % 4294967296 % n, False, r, [j]))
+                alone = set(range(len(home)))
                 which = np.nonzero(asks)[0]
                 for r, cells in zip(which.tolist(), nearest_cells(d1[which], d2[which], visit)):
-                    seen: dict[tuple[int, int], list[int]] = {}
+                    seen: dict[int, list[int]] = {}
                     for i, j in cells:
-                        seen.setdefault((i, j // per_block), []).append(j)
-                    for (i, block), js in seen.items():
-                        rows.extend((i, block, salt, True, r, js) for salt in range(split.get((i, block), 1)))
-                g, b, z, q, at, js = zip(*rows)
+                        seen.setdefault(int(books.block(i, j)), []).append(i * books.cells + j)
+                    for b, visited in seen.items():
+                        n, m = books.split.get(b, (1, 1))
+                        if b == blocks[r] and n == m == 1:
+                            rows.append((b, 0, r, home[r], visited))
+                            alone.discard(r)
+                        else:
+                            rows.extend((b, e * m + salt[r] % m, r, -1, visited) for e in range(n))
+                for r in alone:
+                    n, m = books.split.get(blocks[r], (1, 1))
+                    rows.extend((blocks[r], salt[r] % n * m + q, r, home[r], []) for q in range(m))
+                b, z, at, cell, visits = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(g, pa.int32()), pa.array(b, pa.int32()), pa.array(z, pa.int32()), pa.array(q, pa.bool_()),
-                        pa.array(ids[list(at)]), pa.array(js, pa.list_(pa.int32())),
-                        pa.array([bytes_[r].tobytes() for r in at], pa.binary()),
+                        pa.array(b, pa.int32()), pa.array(z, pa.int32()), pa.array(ids[list(at)]), pa.array(cell, pa.int64()),
+                        pa.array(visits, pa.list_(pa.int64())), pa.array([bytes_[r].tobytes() for r in at], pa.binary()),
                     ],
-                    names=["g", "b", "s", "q", "id", "js", "v"],
+                    names=["b", "s", "id", "cell", "visits", "v"],
                 )
 
     return run
 
 
-def _homes(books, per_block: int):
-    """The block of each entry, for counting."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c1, c2 = books.value
-        half, dim = c1.shape[1], c1.shape[1] + c2.shape[1]
-        for batch in batches:
-            u = _unit(_floats(batch.column(0), dim))
-            g, j = (((c**2).sum(1) - 2 * u[:, cut] @ c.T).argmin(1) for c, cut in ((c1, slice(0, half)), (c2, slice(half, dim))))
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int32()), pa.array(j // per_block, pa.int32())], names=["g", "b"])
-
-    return run
-
-
 def _ranker(dim: int, k: int, least: float | None):
     """Exact similarities of the queries of one block with the entries of the cells they visit."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        q = table["q"].to_numpy()
-        ids = table["id"].to_numpy()
+        ids, cell = table["id"].to_numpy(), table["cell"].to_numpy()
         v = _unit(np.frombuffer(b"".join(table["v"].to_pylist()), dtype=np.float32).reshape(-1, dim))
-        js = table["js"].combine_chunks()
-        if isinstance(js, pa.ChunkedArray):
-            js = js.chunk(0)
-        sizes = np.diff(js.offsets.to_numpy())
-        flat, owner = js.flatten().to_numpy(), np.repeat(np.arange(len(q)), sizes)
-        entry = ~q[owner]
-        ej, eo = flat[entry], owner[entry]
-        order = np.lexsort((ids[eo], ej))
-        ej, eo = ej[order], eo[order]
-        qj, qo = flat[~entry], owner[~entry]
+        visits = table["visits"].combine_chunks()
+        if isinstance(visits, pa.ChunkedArray):
+            visits = visits.chunk(0)
+        eo = np.nonzero(cell >= 0)[0]
+        eo = eo[np.lexsort((ids[eo], cell[eo]))]
+        ej = cell[eo]
+        qj, qo = visits.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(visits.offsets.to_numpy()))
         order = np.argsort(qj, kind="stable")
         qj, qo = qj[order], qo[order]
         out_a, out_b, out_s = [], [], []
@@ -167,7 +218,7 @@ def _ranker(dim: int, k: int, least: float | None):
             asks = qo[slice(*np.searchsorted(qj, [j, j + 1]))]
             for s in range(0, len(asks), 1024):
                 a = asks[s : s + 1024]
-                sim = v[a] @ v[e].T
+                sim = np.round(v[a] @ v[e].T, 12)
                 sim[ids[a][:, None] == ids[e][None, :]] = -2
                 if least is not None:
                     r, c = np.nonzero(sim >= least)
@@ -207,41 +258,46 @@ def nearest_neighbours(
     queries tells which rows ask (all if None; a condition on id_col only); every usable vector is an entry. With
     min_similarity only neighbours that similar are returned.
     """
+    from ..session import materialize
+
     spark = df.sparkSession
-    rows = usable_vectors(df, id_col, vec_col)
+    usable = usable_vectors(df, id_col, vec_col)
     asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
-    copies = rows.select("id", F.xxhash64("v").alias("h"), F.hash("v").alias("h2"))
+    rows = usable.select(F.col("id").alias(id_col), "v").select(F.col(id_col).alias("id"), "v", asks.alias("q"))
+    copies = rows.select("id", "q", F.xxhash64("v").alias("h"), F.hash("v").alias("h2"))
     crowds = copies.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("m"))
-    stats = crowds.agg(F.sum("m").alias("n"), F.max("m").alias("most")).first()
-    n, most = stats["n"] or 0, stats["most"] or 0
-    result = "a bigint, b bigint, similarity double, rank int"
+    large = F.col("m") > k + 1
+    stats = crowds.agg(F.sum("m").alias("n"), F.count_if(large).alias("crowds"), F.sum(F.when(large, F.col("m") - k - 1)).alias("late")).first()
+    n = (stats["n"] or 0) - (stats["late"] or 0)
     if not n:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], "a bigint, b bigint, similarity double, rank int")
     entries, extra = rows, None
-    if most > k + 1:
-        in_crowd = copies.join(crowds.where(F.col("m") > k + 1).select("h", "h2"), ["h", "h2"])
-        ranked = in_crowd.withColumn("r", F.row_number().over(Window.partitionBy("h", "h2").orderBy("id")))
-        entries = rows.join(ranked.where(F.col("r") > k + 1).select("id"), "id", "left_anti")
-        heads = ranked.where(F.col("r") <= k).select("h", "h2", F.col("id").alias("b"), F.col("r").alias("rank"))
-        late = ranked.where(F.col("r") > k + 1).select("h", "h2", F.col("id").alias("a"))
-        late = late.select("h", "h2", F.col("a").alias(id_col)).where(asks).withColumnRenamed(id_col, "a")
-        extra = late.join(heads, ["h", "h2"]).select("a", "b", F.lit(1.0).alias("similarity"), F.col("rank").cast("int").alias("rank"))
-    # about SAMPLE vectors by hash, at most twice as many; each task sends its own part only
-    share = entries if n <= SAMPLE else entries.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < math.ceil(SAMPLE / n * 1_000_000))
-    sample = np.array([r["v"] for r in share.select("v").limit(2 * SAMPLE).collect()], dtype=np.float32)
-    if not len(sample):
-        sample = np.array([r["v"] for r in entries.select("v").limit(1).collect()], dtype=np.float32)
-    unit, dim = _unit(sample), sample.shape[1]
-    half = max(1, dim // 2)
-    cells = int(min(max(round((n / PER_CELL) ** 0.5), 2), MOST_CENTROIDS, max(2, len(unit) // 8)))
-    books = spark.sparkContext.broadcast((_kmeans(unit[:, :half], cells), _kmeans(unit[:, half:], cells) if dim > 1 else np.zeros((1, 0))))
-    per_block = int(min(cells, max(1, cells * cells * BLOCK // 2 // n)))
-    asking = entries.select(F.col("id").alias(id_col), "v").select(F.col(id_col).alias("id"), "v", asks.alias("q"))
-    homes = entries.select("v").mapInArrow(_homes(books, per_block), "g int, b int")
-    blocks = homes.groupBy("g", "b").count().where(F.col("count") > BLOCK).collect() if n > BLOCK * 2 else []  # at most n / BLOCK rows
-    salts = spark.sparkContext.broadcast({(r["g"], r["b"]): -(-r["count"] // BLOCK) for r in blocks})
-    routed = asking.mapInArrow(_router(books, visit, salts, per_block), _ROUTED)
-    near = routed.groupBy("g", "b", "s").applyInArrow(_ranker(dim, k, min_similarity), "a bigint, b bigint, similarity double")
+    if stats["crowds"]:
+        some = crowds.where(large).select("h", "h2")
+        some = F.broadcast(some) if stats["crowds"] <= FEW_CROWDS else some
+        # the first k + 1 of a crowd: every task keeps so many of its own before anything is shuffled
+        place = F.row_number().over(Window.partitionBy("h", "h2").orderBy("id"))
+        heads = materialize(copies.join(some, ["h", "h2"]).withColumn("r", place).where(F.col("r") <= k + 1).select("h", "h2", "id", "r"), "crowds")
+        last = heads.where(F.col("r") == k + 1).select("h", "h2", F.col("id").alias("last"))
+        last = F.broadcast(last) if stats["crowds"] <= FEW_CROWDS else last
+        known = rows.withColumns({"h": F.xxhash64("v"), "h2": F.hash("v")}).join(last, ["h", "h2"], "left")
+        entries = known.where(F.col("last").isNull() | (F.col("id") <= F.col("last"))).select("id", "v", "q")
+        late = copies.join(last, ["h", "h2"]).where(F.col("q") & (F.col("id") > F.col("last"))).select("h", "h2", F.col("id").alias("a"))
+        first = heads.where(F.col("r") <= k).select("h", "h2", F.col("id").alias("b"), F.col("r").alias("rank"))
+        extra = late.join(first, ["h", "h2"]).select("a", "b", F.lit(1.0).alias("similarity"), F.col("rank").cast("int").alias("rank"))
+    # by hash, a few more than wanted; each task sends its own part only
+    wanted = min(max(SAMPLE, SAMPLE_CENTROID * round((n / PER_CELL) ** 0.5)), SAMPLE_MOST)
+    share = entries if n <= wanted else entries.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < math.ceil(wanted / n * (1 << 40)))
+    drawn = share.select("v", "q").limit(2 * wanted).collect() or entries.select("v", "q").limit(1).collect()
+    unit = _unit(np.array([r["v"] for r in drawn], dtype=np.float32))
+    dim = unit.shape[1]
+    books = Books(unit, n, dim)
+    asking = np.array([r["q"] for r in drawn])
+    blocks = books.divide(unit, asking, n, visit)
+    shared = spark.sparkContext.broadcast(books)
+    parts = math.ceil(n * (1 + blocks * asking.mean()) * (4 * dim + 64) / PARTITION)
+    routed = entries.mapInArrow(_router(shared, visit), _ROUTED).repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "b", "s")
+    near = routed.groupBy("b", "s").applyInArrow(_ranker(dim, k, min_similarity), "a bigint, b bigint, similarity double")
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
     found = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if extra is not None:

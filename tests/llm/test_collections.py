@@ -146,6 +146,18 @@ def test_neighbours(spark):
     assert vector_neighbours.nearest_neighbours(df.where("false")).count() == 0
 
 
+def test_divided_blocks_give_the_same(spark, monkeypatch):
+    rows = vectors()
+    df = spark.createDataFrame(rows, "chunk_id long, vector array<float>")
+    whole = {tuple(r) for r in vector_neighbours.nearest_neighbours(df, visit=40).collect()}
+    monkeypatch.setattr(vector_neighbours, "BLOCK", 20)
+    monkeypatch.setattr(vector_neighbours, "QUERIES", 50)
+    monkeypatch.setattr(vector_neighbours, "FEW_CROWDS", 0)
+    assert {tuple(r) for r in vector_neighbours.nearest_neighbours(df, visit=40).collect()} == whole
+    crowd = {(r[0], r[1]) for r in whole if r[0] >= 600}
+    assert {b for a, b in crowd if a == 629} == {0, *range(600, 609)}
+
+
 def test_cells_come_in_order_of_distance():
     rng = np.random.RandomState(1)
     d1, d2 = rng.rand(5, 7), rng.rand(5, 7)
