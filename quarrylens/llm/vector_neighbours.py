@@ -6,8 +6,8 @@ cosine similarity. The number of centroids follows the data (PER_CELL entries a
 a sample chosen by hash, SAMPLE vectors or SAMPLE_CENTROID for each centroid, SAMPLE_MOST at most (64 MB of 64 floats; that
 holds for cells of PER_CELL up to 69 billion vectors); every vector is indexed.
 
-Centroids of a half that are near each other form groups; a pair of groups is a block of cells. Queries meet cells by an
-equality join on the block: a vector is sent once as an entry and once for each block its query visits. What a block gets is
+Second centroids that are near each other form groups; a first centroid with a group is a block of cells. Queries meet cells
+by an equality join on the block: a vector is sent once as an entry and once for each block its query visits. What a block gets is
 estimated from the sample; a block of more than BLOCK entries or QUERIES queries is split by both, so that every group a task
 holds is bounded. The estimate decides how work is divided, never the result.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 SAMPLE, SAMPLE_CENTROID, SAMPLE_MOST = 20_000, 16, 262_144
 #: Mean entries of a cell and of a block; entries and queries of a group beyond which a block is split.
-PER_CELL, PER_BLOCK, BLOCK, QUERIES = 64, 2_048, 8_192, 65_536
+PER_CELL, PER_BLOCK, BLOCK, QUERIES = 64, 8_192, 16_384, 131_072
 #: Bytes of a shuffle partition, and of crowds beyond which they are joined instead of broadcast.
 PARTITION, FEW_CROWDS = 4 << 20, 100_000
 
@@ -107,16 +107,15 @@ class Books:
         self.cells = int(max(2, min(round((n / PER_CELL) ** 0.5), len(sample) // 8)))
         parts = sample[:, : self.half], sample[:, self.half :]
         self.books = [_kmeans(x, self.cells) if x.shape[1] else np.zeros((1, 0)) for x in parts]
-        groups = max(1, round(self.cells / (PER_BLOCK / PER_CELL) ** 0.5))
-        self.group = [_nearest(c, _kmeans(c, groups)) for c in self.books]
-        self.wide = int(self.group[1].max()) + 1
+        self.group = _nearest(self.books[1], _kmeans(self.books[1], max(1, round(self.cells * PER_CELL / PER_BLOCK))))
+        self.groups = int(self.group.max()) + 1
         self.split: dict[int, tuple[int, int]] = {}
 
     def distances(self, unit: np.ndarray) -> list[np.ndarray]:
         return [_distances(x, c) for x, c in zip((unit[:, : self.half], unit[:, self.half :]), self.books)]
 
     def block(self, i, j):
-        return self.group[0][i] * self.wide + self.group[1][j]
+        return i * self.groups + self.group[j]
 
     def divide(self, sample: np.ndarray, asks: np.ndarray, n: int, visit: int, looks: int = 4096) -> float:
         """Splits the blocks that the sample shows to be large; the mean number of blocks a query visits."""
@@ -125,7 +124,7 @@ class Books:
         look = np.nonzero(asks)[0][:looks]
         visits: Counter = Counter()
         for cells in nearest_cells(*self.distances(sample[look]), visit):
-            visits.update({int(self.block(i, j)) for i, j in cells})
+            visits.update({i * self.groups + int(self.group[j]) for i, j in cells})
         up, more = n / len(sample), n * asks.mean() / max(1, len(look))
         for b in own.keys() | visits.keys():
             split = math.ceil(own[b] * up / BLOCK) or 1, math.ceil(visits[b] * more / QUERIES) or 1
@@ -155,6 +154,7 @@ def _router(shared, visit: int):
         books = shared.value
         dim = books.half + books.books[1].shape[1]
         step = max(64, min(4096, 4_000_000 // books.cells))
+        group, groups, width = books.group.tolist(), books.groups, books.cells
         for batch in batches:
             for s in range(0, batch.num_rows, step):
                 part = batch.slice(s, step)
@@ -173,7 +173,7 @@ def _router(shared, visit: int):
                 for r, cells in zip(which.tolist(), nearest_cells(d1[which], d2[which], visit)):
                     seen: dict[int, list[int]] = {}
                     for i, j in cells:
-                        seen.setdefault(int(books.block(i, j)), []).append(i * books.cells + j)
+                        seen.setdefault(i * groups + group[j], []).append(i * width + j)
                     for b, visited in seen.items():
                         n, m = books.split.get(b, (1, 1))
                         if b == blocks[r] and n == m == 1:
@@ -218,26 +218,26 @@ def _ranker(dim: int, k: int, least: float | None):
             asks = qo[slice(*np.searchsorted(qj, [j, j + 1]))]
             for s in range(0, len(asks), 1024):
                 a = asks[s : s + 1024]
-                sim = np.round(v[a] @ v[e].T, 12)
+                sim = v[a] @ v[e].T
                 sim[ids[a][:, None] == ids[e][None, :]] = -2
                 if least is not None:
-                    r, c = np.nonzero(sim >= least)
+                    r, c = np.nonzero(sim >= least - 1e-12)
                 elif len(e) > k:
                     c = np.argpartition(-sim, k - 1, axis=1)[:, :k]
                     edge = np.take_along_axis(sim, c, 1).min(1)
-                    r, c = np.nonzero(sim >= edge[:, None])  # ties at the edge stay; the final rank settles them
+                    r, c = np.nonzero(sim >= edge[:, None] - 1e-12)  # ties at the edge stay; the final rank settles them
                 else:
                     r, c = np.nonzero(sim > -1.5)
                 out_a.append(ids[a][r])
                 out_b.append(ids[e][c])
-                out_s.append(sim[r, c])
+                out_s.append(np.round(sim[r, c], 12))
         a, b, s = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((out_a, np.int64), (out_b, np.int64), (out_s, np.float64)))
         if len(a):
             order = np.lexsort((b, -s, a))
             a, b, s = a[order], b[order], s[order]
             start = np.concatenate([[True], a[1:] != a[:-1]])
             rank = np.arange(len(a)) - np.maximum.accumulate(np.where(start, np.arange(len(a)), 0))
-            keep = (rank < k) & (s > -1.5)
+            keep = (rank < k) & (s >= (-1.5 if least is None else least))
             a, b, s = a[keep], b[keep], s[keep]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
