@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Where it is unset a session on one machine gets a
+    temporary folder (tests); on a cluster that is an error, as executors would write to their own disks."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quarrylens-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -26,7 +30,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete the tables that operators wrote to the shared folder; results that still read them must be done."""
+    """Delete the tables that operators wrote to the shared folder. A result reads them until it is done, so this is for the
+    caller to say: after a job's last action, or at the end of a session."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/quarrylens")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -19,10 +19,9 @@ LISTING = "path string, length long, ext string, modified_at timestamp_ntz"
 UNSAFE = ("library", "system", "node_modules", "cache", "caches")
 
 
-def walk(root: str, extensions: Iterable[str] = EXTENSIONS, deep: bool = True) -> Iterator[tuple]:
-    """(path, length, ext, modified_at) below root: hidden folders (but the root) and hidden files are skipped.
-
-    A missing root is an error, as is a folder that cannot be read.
+def scan(root: str, extensions: Iterable[str] = EXTENSIONS, deep: bool = True) -> Iterator[tuple[tuple, int]]:
+    """((path, length, ext, modified_at), nanoseconds of the last change) below root: hidden folders (but the root) and hidden
+    files are skipped. A missing root is an error, as is a folder that cannot be read.
     """
     import datetime
 
@@ -41,12 +40,17 @@ def walk(root: str, extensions: Iterable[str] = EXTENSIONS, deep: bool = True) -
                 path = os.path.join(folder, name)
                 stat = os.stat(path)
                 when = datetime.datetime.fromtimestamp(stat.st_mtime, datetime.timezone.utc).replace(tzinfo=None)
-                yield path, stat.st_size, ext, when
+                yield (path, stat.st_size, ext, when), max(stat.st_mtime_ns, stat.st_ctime_ns)
+
+
+def walk(root: str, extensions: Iterable[str] = EXTENSIONS, deep: bool = True) -> Iterator[tuple]:
+    """The rows of scan."""
+    return (row for row, _ in scan(root, extensions, deep))
 
 
-def list_files(spark: SparkSession, roots: str | list[str], extensions: Iterable[str] = EXTENSIONS, spread: bool = False) -> DataFrame:
-    """The listing of one or more folders (path, length, ext, modified_at). With spread the executors walk the folders of
-    the first level, and the driver holds only their names."""
+def list_files(spark: SparkSession, roots: str | list[str], extensions: Iterable[str] = EXTENSIONS, spread: bool = True) -> DataFrame:
+    """The listing of one or more folders (path, length, ext, modified_at). The executors walk the folders of the first level,
+    and the driver holds only their names and the files beside them; without spread the driver walks everything."""
     roots, wanted = [roots] if isinstance(roots, str) else list(roots), tuple(extensions)
     if not spread:
         return spark.createDataFrame([r for root in roots for r in walk(root, wanted)], LISTING)  # names only

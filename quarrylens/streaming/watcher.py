@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +10,15 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.engine import Engine, IndexOptions
-from ..sources.listing import LISTING, walk
+from ..sources.listing import LISTING, scan
 from ..sources.readers import read_files
 
 
 class FolderReader(SimpleDataSourceStreamReader):
     """Files below a folder by the time of their last change, in nanoseconds, which is the stream's offset.
 
-    Unlike Spark's file stream it sees files that are changed in place, empty files and names with an underscore.
+    Unlike Spark's file stream it sees files that are changed in place, empty files and names with an underscore. The driver
+    looks at every name once a trigger and keeps those that changed; contents are read by the executors.
     """
 
     def __init__(self, folder: str, extensions: list[str]):
@@ -29,9 +29,7 @@ class FolderReader(SimpleDataSourceStreamReader):
 
     def _since(self, low: int, high: int | None = None) -> tuple[list[tuple], int]:
         rows, last = [], low
-        for row in walk(self.folder, self.extensions):
-            stat = os.stat(row[0])
-            changed = max(stat.st_mtime_ns, stat.st_ctime_ns)
+        for row, changed in scan(self.folder, self.extensions):
             if changed > low and (high is None or changed <= high):
                 rows.append(row)
                 last = max(last, changed)

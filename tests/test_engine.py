@@ -1,15 +1,19 @@
 import io
 import json
 import threading
+import time
 import urllib.parse
 import urllib.request
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarrylens.__main__ import serve
 from quarrylens.operators.engine import Config, Engine, IndexOptions
 from quarrylens.sources import listing, readers
+from quarrylens.sources.store import ChunkStore
 from quarrylens.streaming.watcher import watch_folder
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -35,6 +39,47 @@ def xlsx():
     return b.getvalue()
 
 
+def test_office_files():
+    table = "<w:tbl>" + "".join("<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>" for c in row) + "</w:tr>" for row in ("ab", "cd")) + "</w:tbl>"
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{W}"><w:body><w:p><w:r><w:t>một</w:t><w:tab/><w:t>&amp; hai</w:t></w:r></w:p><w:p/>{table}<w:sectPr/></w:body></w:document>')
+    assert readers.extract("x.DOCX", b.getvalue()) == ("một\t& hai\n\na\tb\nc\td\n", None)
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        sheets = "".join(f'<sheet name="S{i}" r:id="r{i}"/>' for i in range(4))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{S}" xmlns:r="{R}"><sheets>{sheets}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="{"/xl/" * (i == 3)}worksheets/s{i}.xml"/>' for i in range(4)) + "</Relationships>")
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{S}"><si><r><t>xi </t></r><r><t>măng</t></r></si></sst>')
+        row = lambda cells: f'<worksheet xmlns="{S}"><sheetData><row>{cells}</row></sheetData></worksheet>'
+        z.writestr("xl/worksheets/s0.xml", row('<c r="B1" t="s"><v>0</v></c><c r="D1" t="inlineStr"><is><t>bao</t></is></c>'))
+        z.writestr("xl/worksheets/s1.xml", "not xml")
+        z.writestr("xl/worksheets/s2.xml", row('<c r="A1" t="s"><v>7</v></c>'))  # no such string: a bad sheet
+        z.writestr("xl/worksheets/s3.xml", row('<c r="A1"><v>1.5</v></c><c r="AB1"><v>2</v></c>'))
+    assert readers.extract("x.xlsx", b.getvalue()) == ("\txi măng\t\tbao\n1.5" + "\t" * 27 + "2\n", None)
+
+
+def test_office_files_become_chunks(spark, tmp_path):
+    (tmp_path / "kho").mkdir()
+    (tmp_path / "kho" / "a.docx").write_bytes(docx("Biên bản", "nghiệm thu"))
+    (tmp_path / "kho" / "b.XLSX").write_bytes(xlsx())
+    engine = Engine(spark, Config(str(tmp_path / "index")))
+    assert engine.index(str(tmp_path / "kho")) == {"files": 2, "skipped": 0, "chunks": 2}
+    assert sorted(r["text"] for r in engine.store.chunks().collect()) == ["Biên bản\nnghiệm thu", "thép\t\t12"]
+    binary = spark.read.format("binaryFile").load(str(tmp_path / "kho" / "a.docx"))
+    assert [tuple(r) for r in readers.read_binary(binary).collect()] == [(str(tmp_path / "kho" / "a.docx"), "Biên bản\nnghiệm thu\n", None)]
+
+
+def test_npy(tmp_path):
+    import numpy as np
+
+    np.save(tmp_path / "v.npy", np.arange(6, dtype="<f4").reshape(2, 3))
+    np.save(tmp_path / "w.npy", np.arange(3))
+    assert readers.load_npy(str(tmp_path / "v.npy")).tolist() == [[0, 1, 2], [3, 4, 5]]
+    with pytest.raises(ValueError):
+        readers.load_npy(str(tmp_path / "w.npy"))
+
+
 def test_readers():
     assert readers.extract("a.TXT", "chào".encode()) == ("chào", None)
     assert readers.extract("a.docx", docx("một", "hai")) == ("một\nhai\n", None)
@@ -94,6 +139,7 @@ def test_index_search_and_replace(spark, tree, tmp_path):
     assert engine.store.count() == 2
     engine.index(str(tree))
     engine.index(str(tree), IndexOptions(replace=True))
+    engine.store.compact()
     assert engine.status() == {"chunks": 2, "files": 2}
     assert [r["dir"] for r in engine.store.indexed_dirs().collect()] == [str(tree)]
     assert engine.store.get_chunk(engine.store.max_id())["text"]
@@ -106,6 +152,91 @@ def test_index_search_and_replace(spark, tree, tmp_path):
     assert engine.store.count() == 0
 
 
+def test_a_prepared_index_finds_the_same(spark, tree, tmp_path):
+    for diff in (False, True):
+        engine = Engine(spark, Config(str(tmp_path / f"index{diff}"), diff_embed=diff))
+        engine.index(str(tree))
+        queries = ("biên bản nghiệm thu", "báo giá", "gì", "")
+        plain = [(engine.search(q, 3).collect(), engine.search_ranked(q).collect()) for q in queries]
+        where = engine.prepare()
+        assert where == engine.prepare() and [(engine.search(q, 3).collect(), engine.search_ranked(q).collect()) for q in queries] == plain
+        (tree / f"später{diff}.txt").write_text("Mới: biên bản.")
+        engine.index(str(tree), IndexOptions(replace=True))  # an index of an older store is not used
+        assert any("Mới" in r["text"] for r in engine.search("biên bản", 5).collect())
+        assert engine.prepare() != where and any("Mới" in r["text"] for r in engine.search("biên bản", 5).collect())
+        engine.config.int8 = True
+        assert engine.search("báo giá", 1).first()["file_path"].endswith("_báo giá.md")
+
+
+def test_the_right_file_heads_the_exact_bucket(spark, tmp_path):
+    folder = tmp_path / "kho"
+    folder.mkdir()
+    (folder / "a.txt").write_text("Biên bản nghiệm thu công việc đổ bê tông móng nhà kho")
+    (folder / "b.txt").write_text("Bảng giá thép và xi măng tháng này cho nhà kho")
+    (folder / "c.txt").write_text("Hợp đồng thuê cẩu tháp giữa hai bên")
+    engine = Engine(spark, Config(str(tmp_path / "index")))
+    engine.index(str(folder))
+    found = engine.answer("biên bản nghiệm thu bê tông")
+    assert found["exact"][0]["filePath"].endswith("a.txt")
+    assert not any(r["filePath"].endswith("c.txt") for r in found["exact"])
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path, monkeypatch):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "chunk_id long, file_path string, text string")
+    store.append(rows)
+    before, state = store.chunks().collect(), store.state()
+    broken = rows.select(F.raise_error(F.lit("broken")).cast("long").alias("chunk_id"), "file_path", "text")
+    for write in (lambda: store.append(broken), lambda: store.replace_files(broken), lambda: store.replace_files(rows, broken.select(F.col("chunk_id").cast("string").alias("file_path")))):
+        with pytest.raises(Exception, match="broken"):
+            write()
+        assert store.state() == state and store.chunks().collect() == before
+    late = store.log()
+    store.append(rows)
+    monkeypatch.setattr(store, "_whole_log", iter([late, late + [store.log()[-1]]]).__next__)
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.append(rows)
+    assert ChunkStore(spark, store.path).count() == 4
+
+
+def test_readers_of_a_store_outlive_a_compaction(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "store"))
+    rows = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "chunk_id long, file_path string, text string")
+    store.append(rows)
+    store.replace_files(rows.where("chunk_id = 2").withColumn("text", F.lit("z")))
+    reader = store.chunks().select("chunk_id", "text").orderBy("chunk_id")
+    store.compact()
+    assert [tuple(r) for r in reader.collect()] == [(1, "x"), (2, "z")] == [tuple(r) for r in store.chunks().select("chunk_id", "text").orderBy("chunk_id").collect()]
+    store.append(rows)
+    store.compact()
+    assert store.count() == 4 and len(store.log()) == 1
+
+
+def test_throttle(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"f{i}.txt").write_text(f"Tài liệu mẫu số {i} của công trường")
+
+    def took(options):
+        started = time.time()
+        assert Engine(spark, Config(str(tmp_path / f".index{options.pause_seconds}"))).index(str(tmp_path), options)["chunks"] == 6
+        return time.time() - started
+
+    took(IndexOptions(workers=1))
+    assert took(IndexOptions(workers=1, batch_size=2, pause_seconds=1.5)) > took(IndexOptions(workers=1, batch_size=2)) + 0.5
+
+
+def test_searches_at_once_and_a_large_file(spark, tree, tmp_path):
+    (tree / "large.txt").write_text("Nhật ký đổ bê tông sàn tầng bốn. " * 5000)
+    for i in range(15):
+        (tree / f"same{i}.txt").write_text("Mười lăm tệp giống nhau.")
+    engine = Engine(spark, Config(str(tmp_path / "index")))
+    engine.index(str(tree))
+    engine.prepare()
+    with ThreadPoolExecutor(8) as pool:
+        found = list(pool.map(lambda i: engine.answer("nhật ký bê tông" if i % 2 else "mười lăm tệp"), range(8)))
+    assert all(x["exact"] for x in found) and found[0]["exact"] == found[2]["exact"]
+
+
 def test_odd_queries(spark, tree, tmp_path):
     engine = Engine(spark, Config(str(tmp_path / "index")))
     engine.index(str(tree))
