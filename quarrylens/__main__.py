@@ -1,4 +1,8 @@
-"""Command line: `index DIR`, `search QUERY`, `serve [PORT]`, with --index PATH."""
+"""Command line: `index DIR`, `search QUERY`, `serve [PORT]`, with --index PATH and --models PATH.
+
+The folder of models holds `embedder` and `reranker`, each with model.onnx and tokenizer.json; without --models it is looked
+for (resolve_model_path). Where there is an embedder only, its vectors rerank; where there is none, the stand-ins work.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,29 @@ import argparse
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from pathlib import Path
 from urllib.parse import parse_qs, urlparse
 
 from pyspark.sql import SparkSession
 
 from .operators.engine import Config, Engine, IndexOptions
+from .operators.models import DotReranker, OnnxEmbedder, OnnxReranker, resolve_model_path
+from .session import clear_scratch
+
+
+def providers(models: str | None = None) -> dict:
+    """The embedder and reranker that an Engine takes, from the folder of models."""
+    where = {name: Path(models) / name if models else resolve_model_path(name) for name in ("embedder", "reranker")}
+    found = {name: str(p) for name, p in where.items() if p is not None and p.exists()}
+    if models and not found:
+        raise FileNotFoundError(f"{models} has neither embedder nor reranker")
+    out: dict = {}
+    if "embedder" in found:
+        out["embedder"] = OnnxEmbedder(found["embedder"])
+        out["reranker"] = DotReranker(out["embedder"])
+    if "reranker" in found:
+        out["reranker"] = OnnxReranker(found["reranker"])
+    return out
 
 
 def serve(engine: Engine, port: int = 8765) -> ThreadingHTTPServer:
@@ -53,6 +75,7 @@ def serve(engine: Engine, port: int = 8765) -> ThreadingHTTPServer:
             def run() -> None:
                 try:
                     job()
+                    engine.prepare()
                 finally:
                     busy.release()
 
@@ -68,14 +91,17 @@ def serve(engine: Engine, port: int = 8765) -> ThreadingHTTPServer:
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="quarrylens")
     p.add_argument("--index", default="quarrylens-index")
+    p.add_argument("--models")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("index").add_argument("dir")
     sub.add_parser("search").add_argument("query")
     sub.add_parser("serve").add_argument("port", nargs="?", type=int, default=8765)
     a = p.parse_args(args)
-    engine = Engine(SparkSession.builder.appName("quarrylens").getOrCreate(), Config(a.index))
+    engine = Engine(SparkSession.builder.appName("quarrylens").getOrCreate(), Config(a.index), **providers(a.models))
     if a.command == "index":
         print(json.dumps(engine.index(a.dir)))
+        engine.prepare()
+        clear_scratch(engine.spark)
     elif a.command == "search":
         for bucket, rows in engine.answer(a.query).items():
             print(bucket)

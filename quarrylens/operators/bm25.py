@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import let, select_once
@@ -50,9 +50,15 @@ class Bm25Index:
     id_col: str
 
     @classmethod
-    def build(cls, df: DataFrame, id_col: str = "chunk_id", text_col: str = "norm_text") -> Bm25Index:
+    def build(cls, df: DataFrame, id_col: str = "chunk_id", text_col: str = "norm_text", words: DataFrame | None = None) -> Bm25Index:
+        """The index of all records. With words (term) only their postings are made, and written, as they are read twice;
+        what is known of the collection still counts every record."""
         postings = df.select(F.col(id_col).alias("_id"), F.inline(term_counts(tokens(F.col(text_col)))))
         postings = postings.select(F.col("_id").alias(id_col), "term", "tf", "dl")
+        if words is not None:
+            from ..session import materialize
+
+            postings = materialize(postings.join(words.select("term").distinct(), "term", "left_semi"), "postings")
         length = F.size(tokens(F.col(text_col)))
         stats = df.where(length > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl"))
         counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -97,7 +103,7 @@ class Bm25Index:
 
         Scores are narrowed to single precision term by term unless as_float is false.
         """
-        words = queries.select(F.col(query_id).alias("_q"), F.explode(tokens(normalize(F.col(query_col)))).alias("term"))
+        words = query_words(queries, query_id, query_col).withColumnRenamed(query_id, "_q")
         words = words.groupBy("_q", "term").agg(F.count(F.lit(1)).alias("times"))
         wanted = words.join(self.terms, "term")  # terms of the queries only
         hits = self.postings.join(wanted, "term").withColumn("_avgdl", _scalar(self.stats, "avgdl"))
@@ -108,6 +114,11 @@ class Bm25Index:
         return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias(query_id), self.id_col, "score", "rank")
 
 
+def query_words(queries: DataFrame, query_id: str = "query_id", query_col: str = "query") -> DataFrame:
+    """(query_id, term): the words of every query, repeats included."""
+    return queries.select(query_id, F.explode(tokens(normalize(F.col(query_col)))).alias("term"))
+
+
 def _scalar(one_row: DataFrame, column: str) -> Column:
     """A column of a one-row table as a scalar subquery."""
     return one_row.select(column).scalar()
@@ -118,7 +129,7 @@ def bm25_search(
 ) -> DataFrame:
     """(id_col, *keep, score) of the k best records for one query, best first, smaller id on ties.
 
-    One query needs no postings: one pass counts its terms and the collection, a second scores and keeps the top k.
+    One query needs no postings: one pass counts its terms and the collection and keeps the records that hold a term.
     No words in the query, k <= 0 or an empty collection give no rows.
     """
     scored = bm25_scores(df, query, id_col, text_col, keep)
@@ -126,7 +137,12 @@ def bm25_search(
 
 
 def bm25_scores(df: DataFrame, query: str, id_col: str = "chunk_id", text_col: str = "norm_text", keep: list[str] | None = None) -> DataFrame:
-    """(id_col, *keep, score) of every record that holds a word of the query."""
+    """(id_col, *keep, score) of every record that holds a word of the query.
+
+    The records that do are written with their counts while the same pass observes the whole collection.
+    """
+    from ..session import materialize
+
     spark = df.sparkSession
     row = spark.range(1).select(tokens(normalize(F.lit(query))).alias("w")).first()
     asked = row["w"] or []
@@ -140,12 +156,15 @@ def bm25_scores(df: DataFrame, query: str, id_col: str = "chunk_id", text_col: s
         return F.struct(F.size(w).alias("_dl"), *tf)
 
     counted = select_once(df, [id_col, *keep], let(tokens(F.col(text_col)), counts)).where("_dl > 0")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
-    if not stats["n"]:
+    seen = Observation()
+    counted = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avgdl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    any_hit = F.greatest(*(F.col(f"_tf{i}") for i in range(len(terms))), F.lit(0)) > 0
+    counted = materialize(counted.where(any_hit), "hits")
+    stats = seen.get
+    if not stats.get("n"):
         return counted.select(id_col, *keep, F.lit(0.0).alias("score"))
     score = F.lit(0.0)
     for i, t in enumerate(terms):
         one = term_score(idf(F.lit(stats["n"]), F.lit(stats[f"df{i}"])), F.col(f"_tf{i}"), F.col("_dl"), F.lit(stats["avgdl"]))
         score = score + F.lit(float(asked.count(t))) * one.cast("float").cast("double")
-    any_hit = F.greatest(*(F.col(f"_tf{i}") for i in range(len(terms))), F.lit(0)) > 0
-    return counted.where(any_hit).select(id_col, *keep, score.alias("score"))
+    return counted.select(id_col, *keep, score.alias("score"))

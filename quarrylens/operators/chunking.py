@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import let
+from ..functions.expr import let, running_sum
 from ..functions.text import LETTER_OR_DIGIT as LD
 
 SIZE = 512
@@ -29,8 +29,7 @@ def chunks_of(text: Column, size: int = SIZE) -> Column:
     segments = F.regexp_extract_all(text, F.lit(chunk_pattern(size)), F.lit(0))
 
     def placed(segs: Column) -> Column:
-        grow = lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(s)))
-        starts = F.aggregate(segs, F.array(F.lit(0)), grow)
+        starts = running_sum(F.transform(segs, lambda s: F.length(s)))
 
         def one(st: Column) -> Column:
             def piece(s: Column, i: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +11,13 @@ from ..functions.text import normalize
 from ..sources.listing import EXTENSIONS, LISTING, list_files, max_bytes, only_extensions, safe_trees, unindexed_dirs
 from ..sources.readers import read_files
 from ..sources.store import ChunkStore
+from .bm25 import Bm25Index, bm25_search
 from .chunking import SIZE, assign_ids, chunks_of
-from .dedupe import flag_boilerplate
-from .hybrid import search, search_ranked
+from .dedupe import diff_embed, flag_boilerplate
+from .hybrid import merge_hits, rank_hits
 from .models import Embedder, HashingEmbedder, LexicalReranker, Reranker, embed_column
 from .router import boosts_of
+from .vectors import int8_topk, quantized, vector_topk
 
 
 @dataclass
@@ -25,13 +26,16 @@ class Config:
     rerank_k: int = 5
     diff_embed: bool = False
     chunk_size: int = SIZE
+    #: Score vectors by their int8 form, a quarter of the bytes, as soon as the index is prepared.
+    int8: bool = False
 
 
 @dataclass
 class IndexOptions:
-    """workers bounds the tasks that embed at once; batch_size and pause throttle background indexing."""
+    """workers bounds the tasks that read and embed at once (0: as many as there are); a model gets batch_size texts at a time
+    and rests for pause_seconds after each batch."""
 
-    workers: int = 8
+    workers: int = 0
     batch_size: int = 32
     pause_seconds: float = 0.0
     only_extensions: list[str] = field(default_factory=list)
@@ -55,17 +59,21 @@ class Engine:
         self.spark, self.config = spark, config
         self.store = ChunkStore(spark, config.index_path)
         self.embedder, self.reranker = embedder or HashingEmbedder(), reranker or LexicalReranker()
-        self.routes = spark.createDataFrame([], "label string, keywords array<string>")
+        self._routes: list[tuple[str, list[str]]] = []
 
     def register(self, label: str, keywords: list[str]) -> None:
         """Add a route: queries with a keyword favour paths that contain the label."""
-        self.routes = self.routes.unionByName(self.spark.createDataFrame([(label, keywords)], self.routes.schema))
+        self._routes.append((label, keywords))
+
+    @property
+    def routes(self) -> DataFrame:
+        return self.spark.createDataFrame(self._routes, "label string, keywords array<string>")
 
     def index(self, folder: str, options: IndexOptions | None = None) -> dict[str, int]:
         """Index a folder: {files, skipped, chunks}. A missing folder is an error, an unreadable file is skipped."""
         options = options or IndexOptions()
         files = max_bytes(only_extensions(list_files(self.spark, folder), options.only_extensions), options.max_file_bytes)
-        texts = read_files(files.repartition(max(1, options.workers)))
+        texts = read_files(files.repartition(options.workers or 4 * self.spark.sparkContext.defaultParallelism))
         counts = self.index_texts(texts, options.replace, options)
         self.store.add_indexed_dir(folder)
         return counts
@@ -78,20 +86,17 @@ class Engine:
         texts = materialize(texts, "texts")
         read = texts.where("error IS NULL")
         chunks = read.select(F.col("path").alias("file_path"), F.inline(chunks_of(F.col("text"), self.config.chunk_size)))
-        flagged = flag_boilerplate(chunks.withColumn("norm_text", normalize(F.col("text"))))
-        spread = flagged.repartition(max(1, options.workers)) if options.pause_seconds else flagged
-        vectors = embed_column(self._paced(options), spread)
+        chunks = materialize(chunks.withColumn("norm_text", normalize(F.col("text"))), "chunks")  # counted, then joined
+        flagged = flag_boilerplate(chunks)
+        spread = flagged.repartition(options.workers) if options.workers else flagged
+        vectors = embed_column(self.embedder, spread, batch_size=options.batch_size, pause=options.pause_seconds)
         numbered = assign_ids(vectors, base=self.store.max_id())
-        numbered = materialize(numbered, "new-chunks")
         if replace:
             self.store.replace_files(numbered, read.select(F.col("path").alias("file_path")))
         else:
             self.store.append(numbered)
         n = texts.agg(F.count(F.lit(1)).alias("files"), F.count("error").alias("skipped")).first()
-        return {"files": n["files"] - n["skipped"], "skipped": n["skipped"], "chunks": numbered.count()}
-
-    def _paced(self, options: IndexOptions) -> Embedder:
-        return Paced(self.embedder, options.batch_size, options.pause_seconds) if options.pause_seconds else self.embedder
+        return {"files": n["files"] - n["skipped"], "skipped": n["skipped"], "chunks": chunks.count()}
 
     def refresh(self, folder: str, since: DataFrame, options: IndexOptions | None = None) -> dict[str, int]:
         """Index again the files of folder that are new or changed against a listing (path, modified_at, ...)."""
@@ -100,15 +105,40 @@ class Engine:
         changed = now.join(old, "path", "left").where(~(F.col("modified_at").eqNullSafe(F.col("_m")) & F.col("length").eqNullSafe(F.col("_l"))))
         return self.index_texts(read_files(changed.select("path")), True, options)
 
+    def prepare(self) -> str:
+        """Write the keyword index and the vectors of the store as it is now; searches read them until the store changes.
+
+        A search then reads the postings of its words and one narrow table of vectors instead of all texts. Returns the folder.
+        """
+        where = self._index_of(self.store.state())
+        if not self.store.has(f"{where}/ready"):
+            chunks = self.store.chunks()
+            Bm25Index.build(chunks).save(f"{where}/bm25")
+            rows = diff_embed(chunks) if self.config.diff_embed else chunks
+            quantized(rows, keep=["vector"]).write.mode("overwrite").parquet(f"{where}/vectors")
+            self.store.mark(f"{where}/ready")
+        return where
+
+    def _index_of(self, state: str) -> str:
+        return f"{self.store.path}/index/{state}{'-diff' if self.config.diff_embed else ''}"
+
+    def hits(self, query: str, k: int) -> tuple[DataFrame, DataFrame]:
+        """The k best of the keyword and of the vector side, from the prepared index if it is of the store as it is now."""
+        asked, where = self._query_vector(query), self._index_of(self.store.state())
+        if not self.store.has(f"{where}/ready"):
+            chunks = self.store.chunks()
+            return bm25_search(chunks, query, k), vector_topk(diff_embed(chunks) if self.config.diff_embed else chunks, asked, k)
+        vectors = self.spark.read.parquet(f"{where}/vectors")
+        near = int8_topk(vectors, asked, k) if self.config.int8 else vector_topk(vectors, asked, k)
+        return Bm25Index.load(self.spark, f"{where}/bm25").search(query, k), near
+
     def search(self, query: str, k: int = 10) -> DataFrame:
-        return search(self.store.chunks(), query, self._query_vector(query), k, diff=self.config.diff_embed)
+        return merge_hits(*self.hits(query, k), self.store.chunks(), k)
 
     def search_ranked(self, query: str, k: int = 10) -> DataFrame:
         """(chunk_id, file_path, text, score, bucket, rank)."""
-        chunks = self.store.chunks()
-        vectors = self._query_vector(query)
-        boosts = boosts_of(self.routes, query)
-        return search_ranked(chunks, query, vectors, k, self.reranker, boosts, self.config.rerank_k)
+        words, vectors = self.hits(query, self.config.rerank_k if self.config.rerank_k > 0 else 20)
+        return rank_hits(words, vectors, self.store.chunks(), query, k, self.reranker, boosts_of(self.routes, query) if self._routes else {})
 
     def _query_vector(self, query: str) -> list[float]:
         return self.embedder.embed([query])[0].tolist()
@@ -122,8 +152,7 @@ class Engine:
         return out
 
     def status(self) -> dict[str, int]:
-        row = self.store.chunks().agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("file_path").alias("files")).first()
-        return row.asDict()
+        return self.store.counts().select("chunks", "files").first().asDict()
 
     def reset(self) -> None:
         self.store.clear()
@@ -148,20 +177,4 @@ class Engine:
         return total
 
 
-class Paced:
-    """An embedder that works in small batches and rests between them."""
-
-    def __init__(self, inner: Embedder, batch_size: int, pause: float):
-        self.inner, self.batch_size, self.pause, self.dim = inner, batch_size, pause, inner.dim
-
-    def embed(self, texts: list[str]):
-        import numpy as np
-
-        out = []
-        for s in range(0, len(texts), self.batch_size):
-            out.append(self.inner.embed(texts[s : s + self.batch_size]))
-            time.sleep(self.pause)
-        return np.concatenate(out)
-
-
-__all__ = ["Config", "Engine", "IndexOptions", "LISTING", "Paced"]
+__all__ = ["Config", "Engine", "IndexOptions", "LISTING"]

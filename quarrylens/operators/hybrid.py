@@ -26,8 +26,11 @@ def candidate_ids(keyword: DataFrame, vector: DataFrame, id_col: str = "chunk_id
 
 
 def hydrate(candidates: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """Candidates with their path and text; ids that are gone drop out."""
-    return candidates.join(chunks.select(id_col, "file_path", "text"), id_col)
+    """Candidates (at most a few hundred, after a limit) with their path and text; ids that are gone drop out. The ids reach
+    the scan, which skips row groups without them."""
+    ids = [r[0] for r in candidates.select(id_col).collect()]
+    rows = chunks.where(F.col(id_col).isin(ids)) if ids else chunks.where(F.lit(False))
+    return candidates.join(rows.select(id_col, "file_path", "text"), id_col)
 
 
 def top(df: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
@@ -44,7 +47,17 @@ def search(chunks: DataFrame, query: str, query_vector, k: int, id_col: str = "c
 
     words = bm25_search(chunks, query, k, id_col)
     vectors = vector_topk(diff_embed(chunks) if diff else chunks, query_vector, k, id_col)
-    return top(hydrate(top(merge_scores(words, vectors, id_col), k, id_col), chunks, id_col), k, id_col)
+    return merge_hits(words, vectors, chunks, k, id_col)
+
+
+def merge_hits(words: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
+    """(id, score, file_path, text) of the k best of both sides, of which each has a limit already."""
+    return top(hydrate(few(top(merge_scores(words, vectors, id_col), k, id_col)), chunks, id_col), k, id_col)
+
+
+def few(candidates: DataFrame) -> DataFrame:
+    """Candidates that a limit bounds, as a table of literals: joins with it need no statistics and prune by id."""
+    return candidates.sparkSession.createDataFrame(candidates.collect(), candidates.schema)
 
 
 def best_per_file(scored: DataFrame, id_col: str = "chunk_id", path_col: str = "file_path") -> DataFrame:
@@ -75,6 +88,13 @@ def search_ranked(
     The limit stands below the model: at most 2 * rerank_k rows reach it.
     """
     rerank_k = rerank_k if rerank_k > 0 else 20
-    ids = candidate_ids(bm25_search(chunks, query, rerank_k, id_col), vector_topk(chunks, query_vector, rerank_k, id_col), id_col)
-    rows = hydrate(ids, chunks, id_col).coalesce(1)
+    words, vectors = bm25_search(chunks, query, rerank_k, id_col), vector_topk(chunks, query_vector, rerank_k, id_col)
+    return rank_hits(words, vectors, chunks, query, k, reranker, boosts, id_col)
+
+
+def rank_hits(
+    words: DataFrame, vectors: DataFrame, chunks: DataFrame, query: str, k: int, reranker, boosts: dict[str, float] | None = None, id_col: str = "chunk_id"
+) -> DataFrame:
+    """The union of both sides' hits, of which each has a limit already, reranked and split in buckets."""
+    rows = hydrate(few(candidate_ids(words, vectors, id_col)), chunks, id_col).coalesce(1)
     return rank_candidates(reranker.score_column(rows, query), boosts or {}, k, id_col)

@@ -7,6 +7,7 @@ deterministic stand-ins for tests and must not be read as model quality. Executo
 from __future__ import annotations
 
 import os
+import time
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -29,7 +30,8 @@ class Reranker(Protocol):
 
 
 def resolve_model_path(name: str, env: str = "QUARRYLENS_MODELS") -> Path | None:
-    """A model folder: from the environment, beside the program, in the home folder, in the working folder."""
+    """The folder of a model by name: in the folder of models that the environment names, beside the program, in the home
+    folder, in the working folder."""
     places = [os.environ.get(env), Path(__file__).resolve().parents[2] / "models", Path.home() / ".quarrylens" / "models", Path.cwd() / "models"]
     return next((Path(p) / name for p in places if p and (Path(p) / name).exists()), None)
 
@@ -141,23 +143,42 @@ def score_with(reranker: Reranker, df: DataFrame, query: str, text_col: str = "t
     return df.withColumn("score", F.pandas_udf(run, "double")(F.col(text_col)))
 
 
-def embed_column(embedder: Embedder, df: DataFrame, text_col: str = "text", out: str = "vector") -> DataFrame:
-    """df with a vector column. Texts of one Arrow batch are embedded together, sorted by length to save padding."""
+def embed_column(
+    embedder: Embedder, df: DataFrame, text_col: str = "text", out: str = "vector", batch_size: int = 32, pause: float = 0.0
+) -> DataFrame:
+    """df with a vector column. The model gets batch_size texts at a time, of similar length to save padding, and rests for
+    pause seconds after each."""
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             texts = [t or "" for t in s]
             order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
             vectors: list = [None] * len(texts)
-            if texts:
-                for i, v in zip(order, embedder.embed([texts[i] for i in order])):
+            for at in range(0, len(order), max(1, batch_size)):
+                some = order[at : at + max(1, batch_size)]
+                for i, v in zip(some, embedder.embed([texts[i] for i in some])):
                     vectors[i] = v
+                if pause:
+                    time.sleep(pause)
             yield pd.Series(vectors)
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(out, F.pandas_udf(run, "array<float>")(F.col(text_col)))
 
 
+def score_pairs(reranker: Reranker, pairs: DataFrame) -> DataFrame:
+    """pairs (pair_id, query, position, candidate) with score and ms, the time of the whole query's call; the candidates of a
+    query are scored together, as a search would."""
+    shown = [f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        started = time.perf_counter()
+        scores = reranker.score(pdf["query"].iloc[0], pdf["candidate"].tolist())
+        return pdf.assign(score=np.asarray(scores, dtype=np.float64), ms=(time.perf_counter() - started) * 1000)
+
+    return pairs.groupBy("pair_id").applyInPandas(run, ", ".join([*shown, "score double", "ms double"]))
+
+
 def expand_pairs(pairs: DataFrame) -> DataFrame:
     """(pair_id, query, position, candidate): the positive at position 0, then the hard negatives."""
     all_ = F.concat(F.array("positive"), F.coalesce("hard_negatives", F.array().cast("array<string>")))
@@ -165,7 +186,9 @@ def expand_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def recall_at_1(scored: DataFrame) -> DataFrame:
-    """One row (pairs, hits, recall) of (pair_id, position, score): how often the positive has the best score."""
-    best = scored.groupBy("pair_id").agg(F.max(F.when(F.col("position") == 0, F.col("score"))).alias("p"), F.max(F.when(F.col("position") > 0, F.col("score"))).alias("n"))
+    """One row (pairs, hits, recall[, mean_ms]) of (pair_id, position, score[, ms]): how often the positive has the best score,
+    and the mean time of a query."""
+    time_ = [F.max("ms").alias("ms")] if "ms" in scored.columns else []
+    best = scored.groupBy("pair_id").agg(F.max(F.when(F.col("position") == 0, F.col("score"))).alias("p"), F.max(F.when(F.col("position") > 0, F.col("score"))).alias("n"), *time_)
     hit = (F.coalesce(F.col("p"), F.lit(float("-inf"))) >= F.coalesce(F.col("n"), F.lit(float("-inf")))).cast("int")
-    return best.agg(F.count(F.lit(1)).alias("pairs"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 6).alias("recall"))
+    return best.agg(F.count(F.lit(1)).alias("pairs"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 6).alias("recall"), *([F.avg("ms").alias("mean_ms")] if time_ else []))

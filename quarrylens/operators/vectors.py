@@ -41,20 +41,31 @@ QUERY_BLOCK = 4096
 
 
 def vector_topk_many(
-    df: DataFrame, queries: list[tuple[int, list[float]]], k: int, id_col: str = "chunk_id", vec_col: str = "vector"
+    df: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "vector", query_id: str = "query_id", query_vec: str = "vector"
 ) -> DataFrame:
-    """(query_id, id_col, score, rank) of a stated set of queries against all rows.
+    """(query_id, id_col, score, rank) of a table of queries against all rows.
 
-    Every task multiplies its rows with the block of queries as matrices and passes on its own k best of each, so the
-    shuffle holds k rows a query and task, whatever the table's size.
+    Queries come in blocks of QUERY_BLOCK at most on average, by hash: one block is with the driver and the tasks at a time.
+    Every task multiplies its rows with the block as matrices and passes on its own k best of each, so the shuffle holds k
+    rows a query and task, whatever the table's size. All rows are read once a block; for very many queries an index is the
+    better tool. Where there are several blocks the hits of each are written before the next begins.
     """
+    from ..session import materialize
+
     spark, found = df.sparkSession, None
     rows = df.where(F.size(vec_col) > 0).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    for s in range(0, len(queries), QUERY_BLOCK):
-        block = queries[s : s + QUERY_BLOCK]
-        shared = spark.sparkContext.broadcast((np.array([q for q, _ in block]), np.array([v for _, v in block], dtype=np.float64)))
-        part = rows.mapInPandas(_scan(shared, k), "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vec).alias("v")).where((F.size("v") > 0) & F.col("q").isNotNull())
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    for b in range(blocks):
+        block = [(r["q"], r["v"]) for r in asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).collect()]  # about QUERY_BLOCK rows
+        for width in sorted({len(v) for _, v in block}):
+            own = [(q, v) for q, v in block if len(v) == width]
+            shared = spark.sparkContext.broadcast((np.array([q for q, _ in own]), np.array([v for _, v in own], dtype=np.float64)))
+            part = rows.mapInPandas(_scan(shared, k), "query_id long, id long, score double")
+            if blocks > 1:
+                part = materialize(part, "hits")
+                shared.unpersist()
+            found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], f"query_id long, {id_col} long, score double, rank int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -98,10 +98,9 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.normalize(F.col("text")).alias("norm"))
 
 
-@_query(f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_terms FROM (SELECT doc_id, {_words('text')} AS w FROM documents WHERE text IS NOT NULL)")
+@_query(f"SELECT doc_id, {_words('text')} AS words FROM documents")
 def tokenize(spark, d):
-    words = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.tokens(F.col("text")).alias("w"))
-    return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_terms"))
+    return table(spark, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("words"))
 
 
 @_query(f"SELECT chunk_id, trim(regexp_replace(lower(text), '{WS}+', ' ', 'g')) AS fp FROM chunks")
@@ -185,8 +184,8 @@ bm AS (SELECT pair_id, chunk_id, sum(times * greatest(0, ln(1 + (n - df + 0.5) /
 
 @_query(f"WITH {_BATCH} SELECT pair_id, chunk_id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY round(score, 9) DESC, chunk_id) <= 5")
 def bm25_batch(spark, d):
-    index = bm25.Bm25Index.build(table(spark, d, "chunks"))
     pairs = table(spark, d, "ranking_pairs").where("query IS NOT NULL")
+    index = bm25.Bm25Index.build(table(spark, d, "chunks"), words=bm25.query_words(pairs, "pair_id"))
     hits = index.search_many(pairs, 5, "pair_id", as_float=False)
     return hits.select("pair_id", "chunk_id", _round(F.col("score")).alias("score"))
 
@@ -223,8 +222,7 @@ SELECT query_id, vec_id, round(s, 6) AS score FROM s QUALIFY row_number() OVER (
 )
 def vector_topk_many(spark, d):
     rows = table(spark, d, "embeddings")
-    asked = [(r["vec_id"], r["embedding"]) for r in rows.where("vec_id % 50 = 0").collect()]
-    hits = vectors.vector_topk_many(rows, asked, 10, "vec_id", "embedding")
+    hits = vectors.vector_topk_many(rows, rows.where("vec_id % 50 = 0"), 10, "vec_id", "embedding", "vec_id", "embedding")
     return hits.select("query_id", "vec_id", _round(F.col("score")).alias("score"))
 
 
@@ -355,12 +353,69 @@ def ranked_buckets(spark, d):
     return ranked.select("chunk_id", "file_path", _round(F.col("score").cast("double"), 5).alias("score"), "bucket", F.col("rank").cast("long").alias("rank"))
 
 
-@_query(f"WITH {_BOTH}, k5 AS (SELECT chunk_id FROM bm ORDER BY score DESC, chunk_id LIMIT 5), v5 AS (SELECT chunk_id FROM ve ORDER BY score DESC, chunk_id LIMIT 5) SELECT count(DISTINCT file_path) AS files FROM (SELECT chunk_id FROM k5 UNION SELECT chunk_id FROM v5) JOIN chunks USING (chunk_id)")
-def search_ranked_files(spark, d):
-    """How many files the full ranked search returns for the query, with the lexical stand-in as reranker."""
+def _ranked(boosts: str) -> str:
+    """The whole ranked search: both sides' five best, the lexical stand-in as reranker, boosts, best chunk a file, buckets."""
+    asked = f"list_distinct({_words(chr(39) + QUERY + chr(39))})"
+    share = f"(len(list_intersect(list_distinct({_words('text')}), {asked})) / len({asked}))"
+    return f"""WITH {_KEYWORDS}, {_BOTH}, b AS ({boosts}),
+ids AS ((SELECT chunk_id FROM bm ORDER BY score DESC, chunk_id LIMIT 5) UNION (SELECT chunk_id FROM ve ORDER BY score DESC, chunk_id LIMIT 5)),
+c AS (SELECT chunk_id, file_path, text, CAST(ln(({share} + 0.01) / (1.01 - {share})) AS FLOAT)::DOUBLE + coalesce((SELECT sum(boost) FROM b WHERE contains(lower(file_path), lower(label))), 0) AS score FROM ids JOIN chunks USING (chunk_id)),
+f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY round(score, 9) DESC, chunk_id) = 1),
+t AS (SELECT *, CAST(1 / (1 + exp(-score)) AS FLOAT) AS prob FROM f ORDER BY round(score, 9) DESC, chunk_id LIMIT 10)
+SELECT chunk_id, file_path, text, round(prob::DOUBLE, 5) AS score, CASE WHEN prob >= 0.05::FLOAT THEN 'exact' ELSE 'suggest' END AS bucket,
+  row_number() OVER (PARTITION BY prob >= 0.05::FLOAT ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM t"""
+
+
+_BOOSTS = f"SELECT label, count(*) * 0.1::DOUBLE AS boost FROM kw_ WHERE contains({_norm(chr(39) + QUERY + chr(39))}, keyword) GROUP BY label"
+
+
+def _shown(ranked: DataFrame) -> DataFrame:
+    return ranked.select("chunk_id", "file_path", "text", _round(F.col("score").cast("double"), 5).alias("score"), "bucket", F.col("rank").cast("long").alias("rank"))
+
+
+@_query(_ranked(_BOOSTS))
+def search_ranked(spark, d):
     chunks = table(spark, d, "chunks")
-    ranked = hybrid.search_ranked(chunks, QUERY, _ask(chunks), 10, models.LexicalReranker(), router.boosts_of(table(spark, d, "routes"), QUERY))
-    return ranked.agg(F.count_distinct("file_path").alias("files"))
+    return _shown(hybrid.search_ranked(chunks, QUERY, _ask(chunks), 10, models.LexicalReranker(), router.boosts_of(table(spark, d, "routes"), QUERY)))
+
+
+class _Asked:
+    """An embedder that knows one vector, so that SQL can say what a search finds."""
+
+    def __init__(self, vector: list[float]):
+        self.vector, self.dim = vector, len(vector)
+
+    def embed(self, texts: list[str]):
+        import numpy as np
+
+        return np.array([self.vector] * len(texts), dtype=np.float32)
+
+
+def _engine(spark, d):
+    """An engine over a store of all chunks, with its index prepared."""
+    import uuid
+
+    from ..operators.engine import Config, Engine
+
+    chunks = table(spark, d, "chunks")
+    engine = Engine(spark, Config(f"{shared_dir(spark)}/quarrylens/engine-{uuid.uuid4().hex}"), embedder=_Asked(_ask(chunks)))
+    engine.store.append(chunks)
+    engine.prepare()
+    return engine
+
+
+@_query(_SQL["hybrid_search"])
+def engine_search(spark, d):
+    """The merged search over the saved keyword index and the narrow table of vectors."""
+    return _engine(spark, d).search(QUERY, K).select("chunk_id", "file_path", _round(F.col("score"), 5).alias("score"))
+
+
+@_query(_ranked(_BOOSTS))
+def engine_search_ranked(spark, d):
+    engine = _engine(spark, d)
+    for r in table(spark, d, "routes").collect():  # a settings table
+        engine.register(r["label"], r["keywords"])
+    return _shown(engine.search_ranked(QUERY, 10))
 
 
 # ---- evaluation ---------------------------------------------------------------------------------------------------
@@ -373,11 +428,14 @@ def pair_candidates(spark, d):
     return models.expand_pairs(table(spark, d, "ranking_pairs")).select("pair_id", "position", "candidate")
 
 
-@_query(f"WITH {_PAIRS}, b AS (SELECT pair_id, max(score) FILTER (position = 0) AS p, coalesce(max(score) FILTER (position > 0), -1) AS n FROM o GROUP BY pair_id) SELECT count(*) AS pairs, CAST(count(*) FILTER (p >= n) AS BIGINT) AS hits, round(avg((p >= n)::INT), 6) AS recall FROM b")
+_LEXICAL = f"len(list_intersect(list_distinct({_words('candidate')}), list_distinct({_words('query')})))"
+
+
+@_query(f"WITH {_PAIRS.replace(_PAIRS[_PAIRS.index('len(list_intersect'):_PAIRS.index(' AS score FROM p')], _LEXICAL)}, b AS (SELECT pair_id, max(score) FILTER (position = 0) AS p, coalesce(max(score) FILTER (position > 0), -1) AS n FROM o GROUP BY pair_id) SELECT count(*) AS pairs, CAST(count(*) FILTER (p >= n) AS BIGINT) AS hits, round(avg((p >= n)::INT), 6) AS recall FROM b")
 def recall_at_1(spark, d):
+    """How often a reranker (the lexical stand-in) puts the positive first; its mean time is left out, as it varies."""
     pairs = models.expand_pairs(table(spark, d, "ranking_pairs")).where("query IS NOT NULL")
-    words = lambda c: T.tokens(T.normalize(F.col(c)))
-    return models.recall_at_1(pairs.withColumn("score", F.size(F.array_intersect(words("query"), words("candidate"))).cast("double")))
+    return models.recall_at_1(models.score_pairs(models.LexicalReranker(), pairs)).drop("mean_ms")
 
 
 # ---- files and store ----------------------------------------------------------------------------------------------
@@ -402,28 +460,31 @@ def unindexed_dirs(spark, d):
     return listing.unindexed_dirs(dirs, table(spark, d, "indexed_dirs"))
 
 
-@_query("SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, max(chunk_id) AS max_id FROM chunks")
-def index_counts(spark, d):
-    return table(spark, d, "chunks").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("file_path").alias("files"), F.max("chunk_id").alias("max_id"))
+def _store(spark, name: str, chunks: DataFrame | None = None):
+    from ..sources.store import ChunkStore
 
+    import uuid
 
-@_query("SELECT chunk_id, len(vector) AS dim FROM chunks WHERE vector IS NOT NULL AND len(vector) > 0")
-def all_vectors(spark, d):
-    return table(spark, d, "chunks").where(F.size("vector") > 0).select("chunk_id", F.size("vector").cast("long").alias("dim"))
+    store = ChunkStore(spark, f"{shared_dir(spark)}/quarrylens/{name}-{uuid.uuid4().hex}")
+    if chunks is not None:
+        store.append(chunks)
+    return store
 
 
-def _store(spark, name: str):
-    from ..sources.store import ChunkStore
+@_query("SELECT count(*) AS chunks, count(DISTINCT file_path) AS files, max(chunk_id) AS max_id FROM chunks")
+def index_counts(spark, d):
+    return _store(spark, "counts", table(spark, d, "chunks")).counts()
 
-    import uuid
 
-    return ChunkStore(spark, f"{shared_dir(spark)}/quarrylens/{name}-{uuid.uuid4().hex}")
+@_query("SELECT chunk_id, len(vector) AS dim, round(list_sum(CAST(vector AS DOUBLE[])), 5) AS total FROM chunks WHERE vector IS NOT NULL AND len(vector) > 0")
+def all_vectors(spark, d):
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return _store(spark, "vectors", table(spark, d, "chunks")).all_vectors().select("chunk_id", F.size("vector").cast("long").alias("dim"), _round(total, 5).alias("total"))
 
 
 @_query("SELECT chunk_id, file_path, chunk_offset, is_boilerplate FROM chunks")
 def store_round_trip(spark, d):
-    store = _store(spark, "store")
-    store.append(table(spark, d, "chunks"))
+    store = _store(spark, "store", table(spark, d, "chunks"))
     return store.chunks().select("chunk_id", "file_path", "chunk_offset", "is_boilerplate")
 
 
@@ -439,12 +500,15 @@ def store_replace_files(spark, d):
 @_query("SELECT c.chunk_id, c.text FROM chunks c SEMI JOIN (SELECT DISTINCT chunk_id FROM chunks WHERE chunk_offset = 0) i ON c.chunk_id = i.chunk_id")
 def get_chunks(spark, d):
     chunks = table(spark, d, "chunks")
-    return chunks.join(chunks.where("chunk_offset = 0").select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "text")
+    return _store(spark, "get", chunks).get(chunks.where("chunk_offset = 0")).select("chunk_id", "text")
 
 
 @_query("SELECT dir, min(seq) AS seq FROM indexed_dirs GROUP BY dir")
 def indexed_dirs(spark, d):
-    return table(spark, d, "indexed_dirs").groupBy("dir").agg(F.min("seq").alias("seq"))
+    store = _store(spark, "dirs")
+    store.add_indexed_dirs(table(spark, d, "indexed_dirs"))
+    store.add_indexed_dirs(table(spark, d, "indexed_dirs"))  # what is known is not added again
+    return store.indexed_dirs()
 
 
 @_query("SELECT path, max(seen_at) AS seen_at FROM files WHERE seen_at IS NOT NULL GROUP BY path")
@@ -460,6 +524,37 @@ def watch_visits(spark, d):
     return latest_visit_stream(spark, source, files.schema, source + "-out").select("path", "seen_at")
 
 
+@_query(f"WITH RECURSIVE {_SEGMENTS} SELECT lpad(doc_id::VARCHAR, 12, '0') || '.txt' AS name, chunk_offset, {_norm('text')} AS norm_text FROM chk")
+def watch_documents(spark, d):
+    """Documents become files of a folder that is watched: listed, read, chunked and stored by the stream."""
+    import uuid
+
+    from ..operators.engine import Config, Engine
+    from ..streaming.watcher import watch_folder
+
+    base = f"{shared_dir(spark)}/quarrylens/watched-{uuid.uuid4().hex}"
+    folder = base.removeprefix("file://")
+
+    def write(parts):
+        import os
+
+        import pandas as pd
+
+        for pdf in parts:
+            os.makedirs(folder, exist_ok=True)
+            for i, text in zip(pdf["doc_id"], pdf["text"]):
+                with open(f"{folder}/{i:012d}.txt", "wb") as f:
+                    f.write(text.encode("utf-8"))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text").mapInPandas(write, "n long").agg(F.sum("n")).collect()
+    engine = Engine(spark, Config(base + "-index"))
+    query = watch_folder(engine, folder)
+    query.processAllAvailable()
+    query.stop()
+    return engine.store.chunks().select(T.basename(F.col("file_path")).alias("name"), "chunk_offset", "norm_text")
+
+
 # ---- the whole pipeline -------------------------------------------------------------------------------------------
 _FP = f"trim(regexp_replace(lower(text), '{WS}+', ' ', 'g'))"
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylens.functions import vector as V
+from quarrylens.functions.expr import running_sum
 from quarrylens.operators import bm25, dedupe, hybrid, models, router, vectors
 
 DOCS = [(1, "be tong mac cao"), (2, "be tong thuong"), (3, "cat xay"), (4, ""), (5, None), (6, "cat cat cat")]
@@ -58,14 +59,19 @@ def test_bm25_empty_cases(spark, docs):
     assert bm25.bm25_search(docs.where("false"), "be", 5).count() == 0
 
 
-def test_vectors(spark):
+def test_vectors(spark, monkeypatch):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.9, 0.1]), (4, [-1.0, 0.0]), (5, []), (6, None)]
     df = spark.createDataFrame(rows, "chunk_id long, vector array<float>")
     assert [r["chunk_id"] for r in vectors.vector_topk(df, [1.0, 0.0], 9).collect()] == [1, 3, 2, 4]
     assert vectors.vector_topk(df, [1.0, 0.0], 0).count() == 0
     assert [r["chunk_id"] for r in vectors.int8_topk(vectors.quantized(df), [1.0, 0.0], 2).collect()] == [1, 3]
-    many = vectors.vector_topk_many(df, [(9, [1.0, 0.0]), (8, [0.0, 1.0])], 2).orderBy("query_id", "rank").collect()
-    assert [(r["query_id"], r["chunk_id"]) for r in many] == [(8, 2), (8, 3), (9, 1), (9, 3)]
+    asked = spark.createDataFrame([(9, [1.0, 0.0]), (8, [0.0, 1.0]), (7, None), (6, []), (None, [1.0, 0.0]), (5, [1.0])], "query_id long, vector array<float>")
+    want = [(8, 2), (8, 3), (9, 1), (9, 3)]
+    for block in (4096, 1):  # one block of queries, and many
+        monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+        many = vectors.vector_topk_many(df, asked, 2).orderBy("query_id", "rank").collect()
+        assert [(r["query_id"], r["chunk_id"]) for r in many] == want
+    assert vectors.vector_topk_many(df, asked.where("false"), 2).count() == 0
 
 
 def test_quantisation(spark):
@@ -83,6 +89,33 @@ def test_unequal_lengths_use_the_common_part(spark):
     assert (row["d"], row["c"]) == (14.0, 0.0)
 
 
+def test_single_precision(spark):
+    rng = np.random.RandomState(1)
+    rows = [(i, rng.randn(9).astype("float32").tolist(), rng.randn(9 - i % 3).astype("float32").tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, "i int, a array<float>, b array<float>").select("i", V.dot_f32(F.col("a"), F.col("b")).alias("d"))
+    for (i, a, b), r in zip(rows, df.orderBy("i").collect()):
+        s = np.float32(0)
+        for x, y in zip(a, b):
+            s = np.float32(s + np.float32(np.float32(x) * np.float32(y)))
+        assert r["d"] == float(s)
+
+
+def test_running_sum(spark):
+    rows = [(i, [(i * 7 + k) % 5 for k in range(n)]) for i, n in enumerate((0, 1, 2, 3, 4, 6, 7, 20, 2500))] + [(99, None)]
+    df = spark.createDataFrame(rows, "i int, s array<int>")
+    for block in (3, 1000):
+        got = {r["i"]: r["r"] for r in df.select("i", running_sum(F.col("s"), block).alias("r")).collect()}
+        assert got == {i: None if s is None else [sum(s[:k]) for k in range(len(s))] for i, s in rows}
+
+
+def test_index_of_some_words(spark, docs):
+    asked = spark.createDataFrame([(7, "be tong"), (8, "cat gạch")], "query_id int, query string")
+    whole = bm25.Bm25Index.build(docs).search_many(asked, 10).orderBy("query_id", "rank").collect()
+    index = bm25.Bm25Index.build(docs, words=bm25.query_words(asked))
+    assert index.search_many(asked, 10).orderBy("query_id", "rank").collect() == whole
+    assert {r["term"] for r in index.terms.collect()} == {"be", "tong", "cat"}
+
+
 def test_boilerplate(spark):
     rows = [(1, "a", "Header  X"), (2, "b", "header x"), (3, "b", "body"), (4, "b", None), (5, "b", None), (6, "c", "twice"), (7, "c", "twice")]
     df = spark.createDataFrame(rows, "chunk_id int, file_path string, text string")
@@ -117,3 +150,6 @@ def test_recall(spark):
     assert flat.count() == 5
     scored = flat.withColumn("score", (F.col("position") == 0).cast("double") * (F.col("pair_id") == 1).cast("double") + (F.col("position") > 0).cast("double") * 0.5)
     assert models.recall_at_1(scored).first().asDict() == {"pairs": 2, "hits": 1, "recall": 0.5}
+    for reranker in (models.LexicalReranker(), models.DotReranker(models.HashingEmbedder(256))):
+        timed = models.recall_at_1(models.score_pairs(reranker, flat)).first()
+        assert (timed["pairs"], timed["hits"]) == (2, 1) and timed["mean_ms"] > 0
