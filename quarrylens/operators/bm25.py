@@ -53,14 +53,19 @@ class Bm25Index:
     def build(cls, df: DataFrame, id_col: str = "chunk_id", text_col: str = "norm_text", words: DataFrame | None = None) -> Bm25Index:
         """The index of all records. With words (term) only their postings are made, and written, as they are read twice;
         what is known of the collection still counts every record."""
-        postings = df.select(F.col(id_col).alias("_id"), F.inline(term_counts(tokens(F.col(text_col)))))
-        postings = postings.select(F.col("_id").alias(id_col), "term", "tf", "dl")
+        split = df.select(F.col(id_col).alias("_id"), tokens(F.col(text_col)).alias("_w"))
+        length = F.size("_w")
+        size = [F.count_if(length > 0).alias("n"), F.avg(F.when(length > 0, length)).alias("avgdl")]
+        seen = Observation()
+        source = split if words is None else split.observe(seen, *size)
+        postings = source.select("_id", F.inline(term_counts(F.col("_w")))).select(F.col("_id").alias(id_col), "term", "tf", "dl")
+        stats = split.agg(*size)
         if words is not None:
             from ..session import materialize
 
             postings = materialize(postings.join(words.select("term").distinct(), "term", "left_semi"), "postings")
-        length = F.size(tokens(F.col(text_col)))
-        stats = df.where(length > 0).agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl"))
+            counted = seen.get  # of the same pass
+            stats = df.sparkSession.range(1).select(F.lit(counted.get("n", 0)).cast("long").alias("n"), F.lit(counted.get("avgdl")).cast("double").alias("avgdl"))
         counts = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         terms = counts.withColumn("_n", _scalar(stats, "n"))
         terms = terms.select("term", "df", idf(F.col("_n"), F.col("df")).alias("idf"))

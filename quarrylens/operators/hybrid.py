@@ -15,22 +15,26 @@ EXACT = 0.05
 
 
 def merge_scores(keyword: DataFrame, vector: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """(id_col, score): all ids of both sides; where both have one the vector's score holds."""
-    k = keyword.select(id_col, F.col("score").alias("_k"))
-    v = vector.select(id_col, F.col("score").alias("_v"))
-    return k.join(v, id_col, "full_outer").select(id_col, F.coalesce("_v", "_k").alias("score"))
+    """(id_col, score): all ids of both sides, each once; where both have one the vector's score holds."""
+    none = F.lit(None).cast("double")
+    both = keyword.select(id_col, F.col("score").cast("double").alias("_k"), none.alias("_v")).union(vector.select(id_col, none, F.col("score").cast("double")))
+    return both.groupBy(id_col).agg(F.coalesce(F.max("_v"), F.max("_k")).alias("score"))
 
 
 def candidate_ids(keyword: DataFrame, vector: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return keyword.select(id_col).union(vector.select(id_col)).distinct()
 
 
-def hydrate(candidates: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """Candidates (at most a few hundred, after a limit) with their path and text; ids that are gone drop out. The ids reach
-    the scan, which skips row groups without them."""
-    ids = [r[0] for r in candidates.select(id_col).collect()]
-    rows = chunks.where(F.col(id_col).isin(ids)) if ids else chunks.where(F.lit(False))
-    return candidates.join(rows.select(id_col, "file_path", "text"), id_col)
+def hydrate(candidates: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", keep: tuple[str, ...] = ("file_path", "text")) -> DataFrame:
+    """The chunks of candidates (id[, score]) that a limit bounds to a few hundred, with the kept columns; ids that are gone drop
+    out. Ids and scores become literals: nothing is joined, and the scan skips row groups without these ids."""
+    found = candidates.collect()
+    rows = chunks.where(F.col(id_col).isin([r[id_col] for r in found])) if found else chunks.where(F.lit(False))
+    score = []
+    if "score" in candidates.columns:
+        by_id = F.create_map(*(F.lit(x) for r in found for x in (r[id_col], float(r["score"])))) if found else None
+        score = [(F.element_at(by_id, F.col(id_col)) if found else F.lit(0.0)).alias("score")]
+    return rows.select(id_col, *score, *keep)
 
 
 def top(df: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
@@ -52,12 +56,7 @@ def search(chunks: DataFrame, query: str, query_vector, k: int, id_col: str = "c
 
 def merge_hits(words: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
     """(id, score, file_path, text) of the k best of both sides, of which each has a limit already."""
-    return top(hydrate(few(top(merge_scores(words, vectors, id_col), k, id_col)), chunks, id_col), k, id_col)
-
-
-def few(candidates: DataFrame) -> DataFrame:
-    """Candidates that a limit bounds, as a table of literals: joins with it need no statistics and prune by id."""
-    return candidates.sparkSession.createDataFrame(candidates.collect(), candidates.schema)
+    return top(hydrate(top(merge_scores(words, vectors, id_col), k, id_col), chunks, id_col), k, id_col)
 
 
 def best_per_file(scored: DataFrame, id_col: str = "chunk_id", path_col: str = "file_path") -> DataFrame:
@@ -96,5 +95,5 @@ def rank_hits(
     words: DataFrame, vectors: DataFrame, chunks: DataFrame, query: str, k: int, reranker, boosts: dict[str, float] | None = None, id_col: str = "chunk_id"
 ) -> DataFrame:
     """The union of both sides' hits, of which each has a limit already, reranked and split in buckets."""
-    rows = hydrate(few(candidate_ids(words, vectors, id_col)), chunks, id_col).coalesce(1)
+    rows = hydrate(candidate_ids(words, vectors, id_col), chunks, id_col).coalesce(1)
     return rank_candidates(reranker.score_column(rows, query), boosts or {}, k, id_col)

@@ -348,7 +348,7 @@ SELECT chunk_id, file_path, round(prob::DOUBLE, 5) AS score, CASE WHEN prob >= 0
 def ranked_buckets(spark, d):
     chunks = table(spark, d, "chunks")
     ids = hybrid.candidate_ids(bm25.bm25_search(chunks, QUERY, K), vectors.vector_topk(chunks, _ask(chunks), K))
-    scored = chunks.join(ids, "chunk_id").select("chunk_id", "file_path", F.expr(_LOGIT).cast("double").alias("score"))
+    scored = hybrid.hydrate(ids, chunks, keep=("file_path", "chunk_offset")).select("chunk_id", "file_path", F.expr(_LOGIT).cast("double").alias("score"))
     ranked = hybrid.rank_candidates(scored, router.boosts_of(table(spark, d, "routes"), QUERY), 10)
     return ranked.select("chunk_id", "file_path", _round(F.col("score").cast("double"), 5).alias("score"), "bucket", F.col("rank").cast("long").alias("rank"))
 

@@ -37,5 +37,15 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A file of at most so many bytes is read by one task, as it is one row group as a rule; its rows are then dealt to all cores.
+ONE_FILE = 64 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data folder. A folder of files keeps the partitions its files give; only one small file is spread."""
+    where = f"{sf_dir}/{name}.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+    rows = spark.read.parquet(where)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if status.isFile() and (1 << 20) < status.getLen() <= ONE_FILE and cores > 1 else rows
