@@ -2,11 +2,11 @@
 
 A word may have gone through one of several chains (written as UTF-8, read in a legacy encoding, perhaps twice; written in
 the Vietnamese code page, read in the western one). Which chain is a latent variable. Expectation-maximization estimates,
-over all records, how often each source used each chain, and a character model of restored words; evidence that is weak in
-one record is pooled that way. Then each word is restored by its most probable chain, given its source and, in a second
+over all records, how often each field of each source used each chain, and a character model of restored words; evidence
+that is weak in one record is pooled that way. Then each word is restored by its most probable chain, given its source and, in a second
 look, what the rest of its record shows.
 
-The word counts are combined in the workers before they are shuffled. What reaches the driver are parameters only: source
+The word counts are combined in the workers before they are shuffled, and written once for all rounds. What reaches the driver are parameters only: source
 by chain, and pairs of characters (ideographs and other large alphabets count as one class each).
 
 Defined results: null and blank texts are never garbled and stay as they are. Replacement characters and control characters
@@ -218,24 +218,24 @@ def _expect(shared, first: bool):
 
 def fit(texts: DataFrame, source_col: str = "source", text_col: str = "text", rounds: int = 3) -> Model:
     """The model of a table (source, text), by expectation-maximization over all its words."""
+    from ..session import materialize
+
     base = texts.select(F.coalesce(F.col(source_col), F.lit("")).alias("s"), F.col(text_col).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7F]"))
-    words = base.mapInArrow(_count_words, "source string, word string, n bigint").groupBy("source", "word").agg(F.sum("n").alias("n")).persist()
+    counted = base.mapInArrow(_count_words, "source string, word string, n bigint").groupBy("source", "word").agg(F.sum("n").alias("n"))
+    words = materialize(counted, "words")
     model = Model({}, {})
-    try:
-        for k in range(rounds + 1):
-            shared = texts.sparkSession.sparkContext.broadcast(model)
-            sums = words.mapInArrow(_expect(shared, k == 0), "kind int, key string, value double").groupBy("kind", "key").agg(F.sum("value").alias("value"))
-            pairs: dict[str, float] = {}
-            weights: dict[str, list[float]] = {}
-            for r in sums.collect():  # parameters: pairs of characters, chains of sources
-                if r["kind"] == 0:
-                    pairs[r["key"]] = r["value"]
-                else:
-                    chain, source = r["key"].split("|", 1)
-                    weights.setdefault(source, [0.0] * len(CHAINS))[int(chain)] = r["value"]
-            model = Model(pairs, weights if k else {})
-    finally:
-        words.unpersist()
+    for k in range(rounds + 1):
+        shared = texts.sparkSession.sparkContext.broadcast(model)
+        sums = words.mapInArrow(_expect(shared, k == 0), "kind int, key string, value double").groupBy("kind", "key").agg(F.sum("value").alias("value"))
+        pairs: dict[str, float] = {}
+        weights: dict[str, list[float]] = {}
+        for r in sums.collect():  # parameters: pairs of characters, chains of sources
+            if r["kind"] == 0:
+                pairs[r["key"]] = r["value"]
+            else:
+                chain, source = r["key"].split("|", 1)
+                weights.setdefault(source, [0.0] * len(CHAINS))[int(chain)] = r["value"]
+        model = Model(pairs, weights if k else {})
     return model
 
 
@@ -328,12 +328,23 @@ def garbled_records(
 ) -> DataFrame:
     """(id_col, text, chains, restored) of the garbled rows: the text as far as it can be restored, the chains that were
     undone, and whether nothing was lost. The source of a row is the site of its path."""
+    return garbled_fields(df, [text_col], id_col, path_col, rounds).drop("field")
+
+
+def garbled_fields(
+    df: DataFrame, fields: list[str], id_col: str = "chunk_id", path_col: str = "file_path", rounds: int = 3
+) -> DataFrame:
+    """(id_col, field, text, chains, restored) of the garbled values of several text columns. Each field of each source has
+    chain weights of its own; all share the model of characters."""
     import uuid
 
-    base = df.select(F.col(id_col).alias("id"), F.coalesce(site_of(F.col(path_col)), F.lit("")).alias("source"), F.col(text_col).alias("text"))
+    site = F.coalesce(site_of(F.col(path_col)), F.lit(""))
+    values = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("text")) for c in fields))
+    base = df.select(F.col(id_col).alias("id"), site.alias("site"), F.explode(values).alias("v"))
+    base = base.select(F.struct("id", "v.field").alias("id"), F.concat_ws(" ", "site", "v.field").alias("source"), F.col("v.text").alias("text"))
     base = base.where(F.col("text").rlike(r"[^\x00-\x7F]"))
     model = fit(base, rounds=rounds)
     shared = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model))
     kind = base.schema["id"].dataType.simpleString()
     found = base.mapInArrow(_repair(shared), f"id {kind}, text string, chains array<string>, restored boolean")
-    return found.withColumnRenamed("id", id_col)
+    return found.select(F.col("id.id").alias(id_col), "id.field", "text", "chains", "restored")

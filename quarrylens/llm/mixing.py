@@ -8,7 +8,8 @@ so that the tokens come out as evenly as the documents.
 
 The size of the mix, unless given, is the largest at which max_repeats lets every source that has tokens reach its target;
 shares of sources without tokens are spread over the others in proportion. With a given size, sources short of documents
-stay below their target. Documents without tokens (null, empty) take no part; sources without a target neither.
+stay below their target. Documents without tokens (null, empty) or without an id take no part; sources without a target
+neither. Texts are joined back to the documents drawn; of rows with one id the smallest text is taken.
 """
 
 from __future__ import annotations
@@ -32,6 +33,15 @@ def plan_rates(targets: list[tuple[str, float, int]], sizes: dict[str, int], tot
     return {s: min(float(m), size * t / whole / sizes[s]) for s, t, m in alive}
 
 
+def with_texts(drawn: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents drawn with their texts, one row a document; the others are left out by a bit table before the join."""
+    from ..operators.prune import possibly_in
+
+    some = possibly_in(docs.select(F.col(id_col), F.col(text_col).alias("text")), id_col, drawn)
+    texts = some.groupBy(id_col).agg(F.min("text").alias("text"))
+    return drawn.join(texts, id_col).select(id_col, "source", "text", "n_tokens", "copies")
+
+
 def mix_sources(
     docs: DataFrame,
     targets: DataFrame,
@@ -54,7 +64,7 @@ def mix_sources(
     wanted = [(r["source"], r["target_share"], r["max_repeats"]) for r in targets.select("source", "target_share", "max_repeats").collect()]
     names = [s for s, _, _ in wanted if s is not None]
     own = docs.where(F.col(source_col).isin(names)) if names else docs.where(F.lit(False))
-    own = own.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
+    own = own.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_source"))
     counted = count_tokens(own, "_id", "_text", vocabulary, by="_source").where("n_tokens > 0")
     counted = materialize(counted, "token-counts")  # a few bytes a document; tokenizing is not repeated
     sizes = {r["_source"]: (r["t"], r["n"]) for r in counted.groupBy("_source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()}

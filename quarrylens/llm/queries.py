@@ -7,131 +7,130 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     from .encodings import garbled_records
 
-    return garbled_records(_read(spark, d, "chunks")).select("chunk_id")
+    return garbled_records(table(spark, d, "chunks")).select("chunk_id")
 
 
 def p1_repaired(spark: SparkSession, d: str) -> DataFrame:
     from .encodings import garbled_records
 
-    return garbled_records(_read(spark, d, "chunks"))
+    return garbled_records(table(spark, d, "chunks"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     from .boilerplate import repeated_lines
 
-    return repeated_lines(_read(spark, d, "chunks")).select("site", "line")
+    return repeated_lines(table(spark, d, "chunks")).select("site", "line")
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     from .boilerplate import without_repeated_lines
 
-    dates = _read(spark, d, "files").select(F.col("path").alias("file_path"), F.col("modified_at").alias("published"))
-    return without_repeated_lines(_read(spark, d, "chunks"), dates)
+    dates = table(spark, d, "files").select(F.col("path").alias("file_path"), F.col("modified_at").alias("published"))
+    return without_repeated_lines(table(spark, d, "chunks"), dates)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from .splitting import split_oversized
 
-    return split_oversized(_read(spark, d, "chunks")).where("piece_no = 0").select("chunk_id", "cut_kind")
+    return split_oversized(table(spark, d, "chunks")).where("piece_no = 0").select("chunk_id", "cut_kind")
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     from .splitting import split_oversized
 
-    return split_oversized(_read(spark, d, "chunks"))
+    return split_oversized(table(spark, d, "chunks"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from .lookalikes import look_alike_pairs
 
-    return look_alike_pairs(_read(spark, d, "chunks"))
+    return look_alike_pairs(table(spark, d, "chunks"))
 
 
 def p4_spelling(spark: SparkSession, d: str) -> DataFrame:
     from .lookalikes import normalize_spelling
 
-    return normalize_spelling(_read(spark, d, "chunks"))
+    return normalize_spelling(table(spark, d, "chunks"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from .near_duplicates import near_duplicate_pairs
 
-    return near_duplicate_pairs(_read(spark, d, "chunks")).select("chunk_id_a", "chunk_id_b")
+    return near_duplicate_pairs(table(spark, d, "chunks")).select("chunk_id_a", "chunk_id_b")
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     from .near_duplicates import near_duplicate_groups
 
-    return near_duplicate_groups(_read(spark, d, "chunks"))
+    return near_duplicate_groups(table(spark, d, "chunks"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from .term_weights import distinctive_terms
 
-    return distinctive_terms(_read(spark, d, "chunks"))
+    return distinctive_terms(table(spark, d, "chunks"))
 
 
 def p6_weights(spark: SparkSession, d: str) -> DataFrame:
     from .term_weights import term_weights
 
-    w = term_weights(_read(spark, d, "chunks"))
+    w = term_weights(table(spark, d, "chunks"))
     return w.select("chunk_id", "term", F.col("tf").cast("long").alias("tf"), "df", F.round("weight", 6).alias("weight"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .vector_neighbours import mutual_neighbours
 
-    return mutual_neighbours(_read(spark, d, "chunks"))
+    return mutual_neighbours(table(spark, d, "chunks"))
 
 
 def p7_knn(spark: SparkSession, d: str) -> DataFrame:
     from .vector_neighbours import nearest_neighbours
 
-    near = nearest_neighbours(_read(spark, d, "chunks"), queries=F.col("chunk_id") % 50 == 0, visit=600)
+    near = nearest_neighbours(table(spark, d, "chunks"), queries=F.col("chunk_id") % 50 == 0, visit=600)
     return near.select(F.col("a").alias("chunk_id"), F.col("b").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from .tokenizing import encode_corpus
 
-    return encode_corpus(_read(spark, d, "documents"), "doc_id", "text")
+    return encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    """The combined documents, with how often each appears."""
-    from .mixing import mix_sources
+    """The combined documents with their texts, and how often each appears."""
+    from .mixing import mix_sources, with_texts
 
-    return mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[0]
+    docs = table(spark, d, "documents")
+    return with_texts(mix_sources(docs, table(spark, d, "mix_targets"))[0], docs)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares reached."""
     from .mixing import mix_sources
 
-    return mix_sources(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))[1]
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from .repetition import documents_failing
 
-    return documents_failing(_read(spark, d, "documents"), "repeated_runs")
+    return documents_failing(table(spark, d, "documents"), "repeated_runs")
 
 
 def p10_report(spark: SparkSession, d: str) -> DataFrame:
     from .repetition import repetition_report
 
-    report = repetition_report(_read(spark, d, "documents"))
+    report = repetition_report(table(spark, d, "documents"))
     return report.select("doc_id", *(F.round(c, 6).alias(c) if kind == "double" else c for c, kind in report.dtypes if c != "doc_id"))
 
 

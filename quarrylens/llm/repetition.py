@@ -21,7 +21,11 @@ RUN = 8
 STOP_WORDS = (
     "the and of to in for with by on at was is are that this from as it "
     "và của các cho có không là được trong với đã khi theo do tại một những để "
-    "le la les de des du et en un une est pour dans sur par au à avec"
+    "le la les de des du et en un une est pour dans sur par au à avec "
+    "der die das und den von mit für auf ist im nicht ein eine zu dem "
+    "el los las y que del se con una por para il di che non "
+    "o os e da do em no na um uma os het een van dat "
+    "и в не на что с по как это для из к"
 ).split()
 #: rule, measure, comparison, threshold. A document that meets the comparison fails the rule.
 RULES = (

@@ -229,6 +229,9 @@ def test_mix(spark):
     assert shares["b"]["most_repeats"] <= 4 and shares["a"]["most_repeats"] <= 1
     ids = [r["doc_id"] for r in drawn.collect()]
     assert len(ids) == len(set(ids)) and not set(ids) & {2000, 2001, 2002, 2003}
+    texts = mixing.with_texts(drawn, docs.unionByName(docs.where("doc_id < 9"))).collect()
+    text = dict((r[0], r[1]) for r in rows)
+    assert sorted(r["doc_id"] for r in texts) == sorted(ids) and all(r["text"] == text[r["doc_id"]] for r in texts)
     again = {tuple(r) for r in mixing.mix_sources(docs, targets)[0].collect()}
     assert again == {tuple(r) for r in drawn.collect()}  # the same offset gives the same draw
     assert mixing.mix_sources(docs.where("false"), targets)[1].count() == 3

@@ -52,6 +52,14 @@ def test_encodings(spark):
     assert encodings.garbled_records(df.where("false")).count() == 0
 
 
+def test_fields_of_a_source_have_weights_of_their_own(spark):
+    rows = clean_rows(120)
+    bad = {i: SENTENCES[i % 4].encode().decode("cp1252", "replace") for i in range(1, 40)}
+    df = spark.createDataFrame([(i, p, t, bad.get(i, t)) for i, p, t in rows], "chunk_id long, file_path string, title string, text string")
+    got = encodings.garbled_fields(df, ["title", "text"]).collect()
+    assert {(r["chunk_id"], r["field"]) for r in got} == {(i, "text") for i in bad}
+
+
 def test_spelling():
     assert lookalikes.consistent("ｃôｎｇ　ty\u200b Ｎ０") == "công ty N0"
     assert lookalikes.consistent("nha\u0302\u0301t") == "nhất"
