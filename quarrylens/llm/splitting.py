@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import running_sum
 from .common import let
 
 _TRIM_LEFT, _TRIM_RIGHT = r"(?U)^\s+", r"(?U)\s+$"
@@ -65,16 +66,18 @@ def split_oversized(
     body = F.col("_body")
     run = rf"{_LD}{{{limit + 1}}}"
 
-    def ends(parts: Column) -> Column:
-        step = lambda acc, part: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(part)))
-        return F.aggregate(parts, F.array().cast("array<int>"), step)
+    def spans(parts: Column) -> Column:
+        def span(starts: Column) -> Column:
+            first = lambda i: F.coalesce(F.when(i > 0, F.get(starts, i) - overlap), F.lit(0))
+            return F.transform(parts, lambda p, i: F.struct(first(i).alias("start"), (F.get(starts, i) + F.length(p)).alias("stop")))
+
+        return let(running_sum(F.transform(parts, lambda p: F.length(p))), span)
 
-    cuts = let(F.regexp_extract_all(body, F.lit(_pattern(limit, overlap)), F.lit(0)), ends)
     made = trimmed.select(
         "_id", "_lead", "_offset", "_body",
         F.when(body.rlike(run), "forced").otherwise("natural").alias("cut_kind"),
-        F.posexplode(let(cuts, lambda e: F.transform(e, lambda x, i: F.struct(F.coalesce(F.when(i > 0, F.get(e, i - 1)) - overlap, F.lit(0)).alias("start"), x.alias("stop"))))).alias("piece_no", "_span"),
-    )
+        F.posexplode(let(F.regexp_extract_all(body, F.lit(_pattern(limit, overlap)), F.lit(0)), spans)).alias("piece_no", "_span"),
+    )
     start = F.col("_span.start")
     at = F.col("_lead") + start
     return made.select(
