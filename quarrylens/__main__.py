@@ -1,4 +1,5 @@
-"""Command line: `index DIR`, `search QUERY`, `serve [PORT]`, with --index PATH and --models PATH.
+"""Command line: `index DIR`, `onboard DIR [HOME]`, `search QUERY`, `status`, `folders`, `reset`, `serve [PORT]`, with --index
+PATH and --models PATH.
 
 The folder of models holds `embedder` and `reranker`, each with model.onnx and tokenizer.json; without --models it is looked
 for (resolve_model_path). Where there is an embedder only, its vectors rerank; where there is none, the stand-ins work.
@@ -94,14 +95,25 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--models")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("index").add_argument("dir")
+    onboard = sub.add_parser("onboard")
+    onboard.add_argument("dir")
+    onboard.add_argument("home", nargs="?")
     sub.add_parser("search").add_argument("query")
+    for name in ("status", "folders", "reset"):
+        sub.add_parser(name)
     sub.add_parser("serve").add_argument("port", nargs="?", type=int, default=8765)
     a = p.parse_args(args)
     engine = Engine(SparkSession.builder.appName("quarrylens").getOrCreate(), Config(a.index), **providers(a.models))
-    if a.command == "index":
-        print(json.dumps(engine.index(a.dir)))
+    if a.command in ("index", "onboard"):
+        print(json.dumps(engine.index(a.dir) if a.command == "index" else engine.onboard(a.dir, a.home)))
         engine.prepare()
         clear_scratch(engine.spark)
+    elif a.command == "status":
+        print(json.dumps(engine.status()))
+    elif a.command == "folders":
+        print(*(r["dir"] for r in engine.store.indexed_dirs().orderBy("seq").collect()), sep="\n")
+    elif a.command == "reset":
+        engine.reset()
     elif a.command == "search":
         for bucket, rows in engine.answer(a.query).items():
             print(bucket)

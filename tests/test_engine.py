@@ -2,6 +2,7 @@ import io
 import json
 import threading
 import time
+import urllib.error
 import urllib.parse
 import urllib.request
 import zipfile
@@ -10,7 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
-from quarrylens.__main__ import serve
+from quarrylens.__main__ import main, serve
 from quarrylens.operators.engine import Config, Engine, IndexOptions
 from quarrylens.sources import listing, readers
 from quarrylens.sources.store import ChunkStore
@@ -269,4 +270,43 @@ def test_http(spark, tree, tmp_path):
     assert get("/api/search?q=") == {"exact": [], "suggest": []}
     assert get("/api/search?q=" + urllib.parse.quote("báo giá"))["exact"]
     assert get("/api/folders") == [str(tree)]
+
+    def post(path, **body):
+        url = urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", json.dumps(body).encode(), method="POST")
+        try:
+            return json.load(urllib.request.urlopen(url, timeout=60))["status"]
+        except urllib.error.HTTPError as e:
+            return e.code
+
+    def settled():
+        for _ in range(600):
+            status = get("/api/status")
+            if not status["indexing"]:
+                return status
+            time.sleep(0.2)
+
+    (tmp_path / "home" / "docs" / "sub").mkdir(parents=True)
+    (tmp_path / "home" / "cache").mkdir()
+    (tmp_path / "home" / "docs" / "sub" / "n.txt").write_text("Nhật ký công trường.")
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "m.txt").write_text("Biên bản họp.")
+    assert post("/api/index", dir=str(tmp_path / "more")) == "started"
+    assert post("/api/index", dir=str(tmp_path / "more")) == 409  # one at a time
+    assert settled() == {"chunks": 3, "files": 3, "indexing": False}
+    assert post("/api/onboard", dir=str(tmp_path / "more"), home=str(tmp_path / "home")) == "started"
+    assert settled()["files"] == 4 and str(tmp_path / "home" / "docs") in get("/api/folders")
+    assert post("/api/nothing") == 404
     server.shutdown()
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    def run(*args):
+        main(["--index", str(tmp_path / "index"), *args])
+        return capsys.readouterr().out
+
+    assert json.loads(run("index", str(tree))) == {"files": 3, "skipped": 1, "chunks": 2}
+    assert json.loads(run("status")) == {"chunks": 2, "files": 2} and run("folders").strip() == str(tree)
+    shown = run("search", "biên bản nghiệm thu")
+    assert shown.startswith("exact\n") and "nghiệm thu (1).txt" in shown.split("suggest")[0]
+    run("reset")
+    assert json.loads(run("status")) == {"chunks": 0, "files": 0}
