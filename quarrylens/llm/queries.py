@@ -228,6 +228,18 @@ g AS (SELECT DISTINCT chunk_id, file_path, unnest(list_transform(range(1, len(w)
 n AS (SELECT chunk_id, count(*) AS n FROM g GROUP BY chunk_id),
 j AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.chunk_id < b.chunk_id AND a.file_path <> b.file_path GROUP BY ALL)
 SELECT a AS chunk_id_a, b AS chunk_id_b FROM j JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE shared / (x.n + y.n - shared) >= 0.6""",
+        "p5_groups": f"""WITH RECURSIVE w AS (SELECT chunk_id, file_path, text, list_filter(string_split_regex(lower(text), '{_WS}+'), lambda x: x <> '') AS w FROM chunks WHERE text IS NOT NULL AND file_path IS NOT NULL),
+c AS (SELECT text, any_value(w) AS w, min(chunk_id) AS first, min(file_path) AS f0, max(file_path) AS f1 FROM w WHERE len(w) >= 3 GROUP BY text),
+g AS (SELECT DISTINCT first, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM c),
+n AS (SELECT first, count(*) AS n FROM g GROUP BY first),
+j AS (SELECT a.first AS a, b.first AS b, count(*) AS shared FROM g a JOIN g b ON a.g = b.g AND a.first < b.first GROUP BY ALL),
+e AS (SELECT a, b FROM j JOIN n x ON x.first = a JOIN n y ON y.first = b JOIN c s ON s.first = a JOIN c t ON t.first = b
+  WHERE shared / (x.n + y.n - shared) >= 0.6 AND NOT (s.f0 = s.f1 AND t.f0 = t.f1 AND s.f0 = t.f0)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (SELECT a AS v, a AS r FROM ways UNION SELECT v, b FROM reach JOIN ways ON r = a),
+l AS (SELECT v, min(r) AS label FROM reach GROUP BY v), k AS (SELECT a, count(*) AS links FROM ways GROUP BY a)
+SELECT chunk_id, first AS text_class, coalesce(label, first) AS group_id, coalesce(links, 0) AS links
+FROM w JOIN c USING (text) LEFT JOIN l ON v = first LEFT JOIN k ON a = first WHERE len(w.w) >= 3 AND (label IS NOT NULL OR f0 <> f1)""",
         "p7_found": f"WITH {_NEAREST.format(where='')} SELECT x.a AS chunk_id_a, x.b AS chunk_id_b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b AND x.s >= 0.9",
         "p7_knn": f"WITH {_NEAREST.format(where='AND a.chunk_id % 50 = 0')} SELECT a AS chunk_id, b AS neighbour_id, round(s, 6) AS similarity, rank FROM r",
         "p6_found": f"WITH {_TERMS} SELECT chunk_id, term FROM tf JOIN df USING (term), st WHERE df >= 2 AND (1 + ln(tf)) * ln(n / df) >= 1.75 * ln(n)",
