@@ -18,8 +18,8 @@ BITS = 24
 def possibly_in(df: DataFrame, key: str, members: DataFrame, member_key: str | None = None, bits: int = BITS) -> DataFrame:
     """The rows of df whose key is among the members, and a few others (a share of members / 2**bits). Null keys drop out."""
     place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
-    bit = members.where(F.col(member_key or key).isNotNull()).select(place(member_key or key).alias("_place"))
-    words = bit.groupBy(F.shiftright("_place", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_place & 63 as int)))").alias("_bits"))
-    placed = df.where(F.col(key).isNotNull()).withColumn("_place", place(key))
-    hit = placed.withColumn("_word", F.shiftright("_place", 6)).join(F.broadcast(words), "_word")
-    return hit.where(F.expr("getbit(_bits, cast(_place & 63 as int)) = 1")).select(*df.columns)
+    bit = members.where(F.col(member_key or key).isNotNull()).select(place(member_key or key).alias("__place"))
+    words = bit.groupBy(F.shiftright("__place", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__place & 63 as int)))").alias("__bits"))
+    placed = df.where(F.col(key).isNotNull()).withColumn("__place", place(key))
+    hit = placed.withColumn("__word", F.shiftright("__place", 6)).join(F.broadcast(words), "__word")
+    return hit.where(F.expr("getbit(__bits, cast(__place & 63 as int)) = 1")).select(*df.columns)
