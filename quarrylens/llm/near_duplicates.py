@@ -4,13 +4,18 @@ Each distinct text becomes a vector of 48 minimum hashes of 16 bits over its wor
 in each position with probability 1 - s. The vector is cut into segments, so few that similar vectors have one that differs
 in at most one position: with m segments that is certain for fewer than 2m differing positions. A segment of four positions
 is one long. Of every segment the variants with one position replaced by a wildcard are indexed: the wildcard's place holds
-the number of segment and place. Equal variants are joined. A variant carries 128 one-bit minimum hashes of its text, which
-the join compares, so that pairs far below the threshold are never shuffled; what passes is compared by 256 of them and
-verified by the similarity of the two shingle sets. Nothing else is compared, and no bucket or partner is capped.
+the number of segment and place. Equal variants are joined, by 32 bits of their hash. A variant carries 160 one-bit minimum
+hashes of its text, its sketch, which the join compares, so that pairs far below the threshold are never shuffled; what passes
+is compared by 256 of them and verified by the similarity of the two shingle sets. No bucket or partner is capped.
+
+Variants are most of what is shuffled, 48 a text, so a row of them is three longs: half a long of the variant's hash, and the
+sketch. A pair is one long: 32 bits of the hash of each sketch, its label. All texts of a label are taken for the pair, and
+texts of one label are compared whether or not they share a variant. So what agrees in 32 bits by chance is compared for
+nothing, and no pair is lost by it.
 
 With segments of four positions a pair of similarity s is missed with probability (1 - 4 s^3 (1 - s) - s^4)^12: 0.0004 at
 s = 0.6, 0.00004 at 0.65 and 3e-9 at 0.8. A sketch bit differs with probability (1 - s) / 2; pairs at the threshold that
-differ in 4 deviations more are left out, 0.0001 of them, and fewer above it.
+differ in 4 deviations more are left out, 0.00015 of them at most by both comparisons, and fewer above it.
 
 A text is known by its 64-bit hash. Workers drop copies before anything is shuffled, and one table of signatures (one row a
 distinct text) serves the variants and the sketches. Texts are read again for pairs that pass only: a bit table of bounded
@@ -32,8 +37,9 @@ from pyspark.sql import functions as F
 
 #: Segments of the vector; a segment is WIDTH positions of 16 bits, which fill a long.
 SEGMENTS, WIDTH = 12, 4
-#: Longs of the sketch that candidates are compared by, those that the join compares, and the deviations allowed.
-SKETCH, CARRIED, SLACK = 4, 2, 4.0
+#: Longs of the sketch that candidates are compared by, and the deviations allowed. The join compares two and a half of them.
+SKETCH, SLACK = 4, 4.0
+CARRIED_BITS = 160
 _WS = r"(?U)\s+"
 
 
@@ -106,18 +112,23 @@ def signatures(texts: DataFrame, segments: int = SEGMENTS) -> DataFrame:
     """(t, g0.., k0..): one row for each distinct text of (t, sh)."""
     names = _columns(segments)
     signed = texts.select("t", "sh").mapInArrow(_signer(segments), "t bigint, " + ", ".join(f"{c} bigint" for c in names))
-    return signed.groupBy("t").agg(*(F.first(c).alias(c) for c in names))
+    return signed.repartition("t").dropDuplicates(["t"])  # tasks have dropped their copies; states of an aggregation are longer
 
 
 def variants(signed: DataFrame, segments: int = SEGMENTS) -> DataFrame:
-    """(sig, t, k0, k1): every segment with one position replaced by a wildcard."""
+    """(v, k0, k1): every segment with one position replaced by a wildcard; v is half of its hash, then half of k2."""
 
     def variant(i: int, p: int) -> Column:
         kept = np.uint64(0xFFFFFFFFFFFFFFFF) ^ (np.uint64(0xFFFF) << np.uint64(16 * p))
         tag = np.uint64(i * WIDTH + p + 1) << np.uint64(16 * p)
         return F.col(f"g{i}").bitwiseAND(F.lit(int(kept.astype(np.int64)))).bitwiseOR(F.lit(int(tag.astype(np.int64))))
 
-    return signed.select(F.explode(F.array(*(variant(i, p) for i in range(segments) for p in range(WIDTH)))).alias("sig"), "t", *(f"k{i}" for i in range(CARRIED)))
+    sigs = signed.select(F.explode(F.array(*(variant(i, p) for i in range(segments) for p in range(WIDTH)))).alias("sig"), "k0", "k1", "k2")
+    return sigs.select(F.shiftleft(F.xxhash64("sig"), 32).bitwiseOR(_half(F.col("k2"))).alias("v"), "k0", "k1")
+
+
+def _half(c: Column) -> Column:
+    return c.bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def most_bits(bits: int, threshold: float) -> int:
@@ -127,19 +138,33 @@ def most_bits(bits: int, threshold: float) -> int:
 
 
 def candidate_pairs(signed: DataFrame, threshold: float, segments: int = SEGMENTS) -> DataFrame:
-    """(a, b) with a < b of the signatures that share a variant and whose sketches are near enough."""
-    sigs = variants(signed, segments)
-
-    def ends(df: DataFrame, longs: int, *also: str) -> list[DataFrame]:
-        return [df.select(*also, F.col("t").alias(x), *(F.col(f"k{i}").alias(f"{x}{i}") for i in range(longs))) for x in "ab"]
-
-    def near(longs: int) -> Column:
-        return sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(longs)), F.lit(0)) <= most_bits(64 * longs, threshold)
-
-    left, right = ends(sigs, CARRIED, "sig")
-    pairs = left.join(right, "sig").where((F.col("a") < F.col("b")) & near(CARRIED)).select("a", "b").distinct()
-    a, b = ends(signed, SKETCH)
-    return pairs.join(a, "a").join(b, "b").where(near(SKETCH)).select("a", "b")
+    """(a, b) with a < b of the signatures that share a variant, or their label, and whose sketches are near enough."""
+
+    def ends(df: DataFrame) -> list[DataFrame]:
+        return [df.select(*(F.col(c).alias(f"{x}_{c}") for c in df.columns)) for x in "ab"]
+
+    def carried(x: str, third: str = "k2") -> list[Column]:
+        return [F.col(f"{x}_k0"), F.col(f"{x}_k1"), _half(F.col(f"{x}_{third}"))]
+
+    def near(bits: int, p: list[Column], q: list[Column]) -> Column:
+        return sum((F.bit_count(i.bitwiseXOR(j)) for i, j in zip(p, q, strict=True)), F.lit(0)) <= most_bits(bits, threshold)
+
+    def label(x: str, third: str = "k2") -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*carried(x, third)), 32)
+
+    left, right = ends(variants(signed, segments))
+    p, q = label("a", "v"), label("b", "v")
+    met = left.join(right, F.shiftright("a_v", 32) == F.shiftright("b_v", 32))
+    met = met.where(near(CARRIED_BITS, carried("a", "v"), carried("b", "v"))).where(p < q)
+    pairs = met.select(F.shiftleft(p, 32).bitwiseOR(q).alias("pair")).distinct()
+    longs = [f"k{i}" for i in range(SKETCH)]
+    a, b = ends(signed.where("t IS NOT NULL").select("t", *longs))  # one exchange serves all four sides
+    p, q = label("a"), label("b")
+    of_two = pairs.join(a, F.shiftrightunsigned("pair", 32) == p).join(b, _half(F.col("pair")) == q)
+    of_one = a.join(b, p == q).where("a_t < b_t")
+    whole = near(64 * SKETCH, *([F.col(f"{x}_{k}") for k in longs] for x in "ab"))
+    found = of_two.drop("pair").unionByName(of_one).where(whole)
+    return found.select(F.least("a_t", "b_t").alias("a"), F.greatest("a_t", "b_t").alias("b"))
 
 
 def _linked_texts(rows: DataFrame, size: int, threshold: float, segments: int) -> DataFrame:

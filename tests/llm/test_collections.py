@@ -93,6 +93,20 @@ def test_a_mass_of_copies_is_one_text(spark):
     assert near_duplicates.near_duplicate_pairs(df).count() == 0  # one file only
 
 
+def test_the_join_shuffles_three_longs_a_variant(spark):
+    """They hold more of the sketch than two longs beside the variant and the text; texts of one sketch are still paired."""
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(2000)}" for _ in range(40)) for _ in range(50)]
+    texts += [f"{t[:40].upper()}{t[40:]}" for t in texts] + [t.replace(" ", "  ", k) for k, t in enumerate(texts[:20], 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "t long, text string")
+    signed = near_duplicates.signatures(df.select("t", near_duplicates.shingles(F.col("text"), 3).alias("sh")))
+    assert [kind for _, kind in near_duplicates.variants(signed).dtypes] == ["bigint"] * 3
+    got = [tuple(r) for r in near_duplicates.candidate_pairs(signed, 0.6).collect()]
+    same = [" ".join(t.lower().split()) for t in texts]
+    assert len(got) == len(set(got)) and all(a < b for a, b in got)
+    assert set(got) == {(a, b) for a in range(120) for b in range(a + 1, 120) if same[a] == same[b]}
+
+
 def test_term_weights_equal_brute_force(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choice("a b c d e. f, G".split()) for _ in range(rng.randint(0, 12))) for _ in range(80)] + [None, "", "  \u00a0", "rare rare rare rare rare", "rare b"]
